@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lumaspan.llm import quality, urls
+from lumaspan.llm import decontamination, mixing, quality, sharding, urls
 
 QUERIES = {
     "op3_url_filters": urls.op3_url_filters,
+    "op5_sharding": sharding.op5_sharding,
+    "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_source_mixing": mixing.op9_source_mixing,
 }
 SQL = {
     "op3_url_filters": urls.SQL,
