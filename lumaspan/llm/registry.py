@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumaspan.llm import decontamination, mixing, quality, sharding, urls
+from lumaspan.llm import decontamination, lines, mixing, quality, sharding, urls
 
 QUERIES = {
     "op3_url_filters": urls.op3_url_filters,
@@ -10,8 +10,10 @@ QUERIES = {
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_source_mixing": mixing.op9_source_mixing,
+    "op10_line_dedup": lines.op10_line_dedup,
 }
 SQL = {
     "op3_url_filters": urls.SQL,
     "op8_quality_rules": quality.SQL,
+    "op10_line_dedup": lines.SQL,
 }

@@ -127,7 +127,7 @@ def judge(df: DataFrame, rules=RULES, url: str = "url", keep: tuple[str, ...] =
     urls = df.select(*(F.col(k) for k in keep), host.alias("_u_host"), path.alias("_u_path"))
     urls = urls.withColumn("_u_keys", key_candidates(F.col("_u_host"), F.col("_u_path"), lengths))
     actions = sorted({a for a, _, _ in rules})
-    listed = {a: spark.createDataFrame([(h + p,) for x, h, p in rules if x == a], "key string") for a in actions}
+    listed = {a: spark.range(1).select(F.explode(F.array(*(F.lit(h + p) for x, h, p in rules if x == a))).alias("key")) for a in actions}
     universe = urls.select(F.explode("_u_keys").alias("key"))
     out = [*keep, F.col("_u_host").alias("host"), F.col("_u_path").alias("path")]
     try:
