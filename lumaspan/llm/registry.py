@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumaspan.llm import decontamination, lines, mixing, quality, sharding, urls
+from lumaspan.llm import decontamination, language, lines, mixing, quality, sharding, urls
 
 QUERIES = {
     "op3_url_filters": urls.op3_url_filters,
     "op5_sharding": sharding.op5_sharding,
+    "op6_language_id": language.op6_language_id,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_source_mixing": mixing.op9_source_mixing,
