@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lumaspan.llm import decontamination, language, lines, mixing, quality, sharding, urls
+from lumaspan.llm import decontamination, html, jaccard, language, lines, mixing, quality, sharding, urls
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op3_url_filters": urls.op3_url_filters,
+    "op4_html_extraction": html.op4_html_extraction,
     "op5_sharding": sharding.op5_sharding,
     "op6_language_id": language.op6_language_id,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
