@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lumaspan.llm import decontamination, html, jaccard, language, lines, mixing, quality, sharding, urls
+from lumaspan.llm import decontamination, html, jaccard, language, lines, mixing, quality, sharding, suffixes, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
+    "op2_suffix_array_dedup": suffixes.op2_suffix_array_dedup,
     "op3_url_filters": urls.op3_url_filters,
     "op4_html_extraction": html.op4_html_extraction,
     "op5_sharding": sharding.op5_sharding,
