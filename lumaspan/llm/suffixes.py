@@ -7,8 +7,8 @@ Every byte covered by a string of ``LENGTH`` bytes that starts at another place
    repeat and are left out.
 2. Blocks. Buckets are sorted one block of them at a time; a task holds the pieces of text of one block only. In a block the
    suffixes that start in a residue class of a difference cover modulo ``COVER`` are ranked first, by doubling. All
-   suffixes are then sorted by their first ``COVER`` bytes, and longer ties by the rank of the cover suffix that starts next:
-   equal strings are at the same distance from it. Neighbours in this order that agree in ``LENGTH`` bytes, compared
+   suffixes are then sorted by their first bytes up to the cover suffix that starts next, and longer ties by its rank: equal
+   strings are at the same distance from it. Neighbours in this order that agree in ``LENGTH`` bytes, compared
    byte by byte, repeat.
 3. Buckets of more than ``SUB`` pieces are dealt to several sub-buckets by text; what repeats only across them is found by
    counting digests of the strings, one for each distinct string and sub-bucket.
@@ -34,10 +34,10 @@ from lumaspan.llm.hashing import _powers as powers
 
 LENGTH = 400
 GRAM = 32
-COVER = 32
+COVER = 64
 SUB = 4096
 BLOCK_BYTES = 2 << 20
-JOIN_ROWS = 200_000  # texts whose anchors or runs may be broadcast
+JOIN_ROWS = 20_000  # texts whose anchors or runs may be broadcast
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -122,7 +122,7 @@ def repeated_starts(texts: list[bytes], groups: np.ndarray, zero: np.ndarray, co
     aligned = groups[which] * (2 * length) + zero[which] - place  # equal strings have the same anchor at the same distance
     follower = start + to_next[residue[start]]
     tie = rank[slot[follower]]
-    order = np.lexsort([tie, *(words[start + 8 * k] for k in reversed(range(v // 8))), aligned])
+    order = np.lexsort([tie, *(words[start + 8 * k] for k in reversed(range(-(-max(to_next) // 8) or 1))), aligned])
     at, key = start[order], aligned[order]
     same = np.zeros(len(order), bool)
     maybe = np.flatnonzero((key[1:] == key[:-1]) & (words[at[1:]] == words[at[:-1]]) & (words[at[1:] + length - 8] == words[at[:-1] + length - 8])) + 1
@@ -263,6 +263,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     found = stored(anchor_table(texts, length, gram))
     me = F.struct("_t", "_p")
     again = found.groupBy("_h").agg(F.min(me).alias("_x"), F.max(me).alias("_y"), F.count("*").alias("_m")).where("_x != _y").select("_h", "_m")
+    again = stored(again)  # so that the join is dealt by itself and hot anchors can be split
     held = stored(found.join(again, "_h").groupBy("_t").agg(F.collect_set(F.struct("_p", "_lo", "_hi", "_h", "_m")).alias("_anchors")))
     out = stored(sorted_blocks(piece_table(sized_join(texts, held, "inner").select("_t", "_text", "_anchors"), length), length, v, sub))
     across = out.where("_d is not null")
