@@ -37,7 +37,6 @@ GRAM = 32
 COVER = 64
 SUB = 4096
 BLOCK_BYTES = 2 << 20
-JOIN_ROWS = 20_000  # texts whose anchors or runs may be broadcast
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -252,11 +251,6 @@ def sorted_blocks(pieces_: DataFrame, length: int, v: int, sub: int) -> DataFram
     return dealt.select("_h", "_s", "_t", "_lo", "_hi", "_p", "_m", "_piece").mapInArrow(run, "_t long, _a long, _b long, _d long")
 
 
-def sized_join(texts: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    """Joins on _t; the side is broadcast if it has few rows, else both are shuffled."""
-    return texts.join(F.broadcast(side) if side.count() <= JOIN_ROWS else side, "_t", how)
-
-
 def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, v: int = COVER, sub: int = SUB) -> DataFrame:
     """_t (hash of a text), _runs (bytes [_a, _b) that go, merged in ``remove``) of the texts that hold repeated strings."""
     texts = docs.where(F.octet_length(text) >= length).select(F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
@@ -265,7 +259,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     again = found.groupBy("_h").agg(F.min(me).alias("_x"), F.max(me).alias("_y"), F.count("*").alias("_m")).where("_x != _y").select("_h", "_m")
     again = stored(again)  # so that the join is dealt by itself and hot anchors can be split
     held = stored(found.join(again, "_h").groupBy("_t").agg(F.collect_set(F.struct("_p", "_lo", "_hi", "_h", "_m")).alias("_anchors")))
-    out = stored(sorted_blocks(piece_table(sized_join(texts, held, "inner").select("_t", "_text", "_anchors"), length), length, v, sub))
+    out = stored(sorted_blocks(piece_table(texts.join(held, "_t").select("_t", "_text", "_anchors"), length), length, v, sub))
     across = out.where("_d is not null")
     many = across.groupBy("_d").agg(F.count("*").alias("_k")).where("_k > 1").select("_d")
     across = across.where("_b >= 0").join(many, "_d").select("_t", "_a", "_b")
@@ -288,7 +282,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     several = docs.where(F.octet_length(text) >= length).groupBy(F.xxhash64(text).alias("_t")).agg(F.count("*").alias("_c")).where("_c > 1")
     found = repeated_runs(docs, text, length, gram, v, sub)
     gone = stored(found.join(several.select("_t", F.lit(True).alias("_all")), "_t", "full_outer"))
-    rows = sized_join(docs.select(F.col(key), whole(F.col(text)).alias("_text"), F.xxhash64(text).alias("_t")), gone, "left")
+    rows = docs.select(F.col(key), whole(F.col(text)).alias("_text"), F.xxhash64(text).alias("_t")).join(gone, "_t", "left")
 
     def run(batches):
         for batch in batches:
