@@ -102,7 +102,9 @@ def reject(docs: DataFrame, text: str = "text", host: str = "source", reject_rat
     """The rows of ``docs`` that are kept, columns as they are. Texts are read twice and never shuffled."""
     counts = measured(docs.select(text, F.col(host).alias("_q_host")), text, ("_q_host",)).withColumn("_q_failed", failed())
     hosts = stored(host_verdicts(counts, "_q_host", "_q_failed", reject_rate)).where("_rejected").select("_host")
-    good = measured(docs, text).where(~failed()).select(*docs.columns)
+    # a generator of one row or none: a filter would be pushed below the counts and evaluate them again for each use
+    good = measured(docs, text).withColumn("_q_failed", failed())
+    good = good.select(*docs.columns, F.explode(F.when(~F.col("_q_failed"), F.array(F.lit(1)))).alias("_q_one")).select(*docs.columns)
     return good.join(small(hosts), F.col(host).eqNullSafe(F.col("_host")), "left_anti")
 
 
