@@ -1,3 +1,5 @@
 """Named queries over the dataset tables, one module per area."""
 
-MODULES: list = []
+from lumaspan.plans import neardup, relational, text
+
+MODULES = [neardup, relational, text]
