@@ -17,35 +17,38 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
-def _probes(k: int, value: Column, masks: list[int]) -> Column:
-    return F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.struct(F.lit(k).alias("k"), value.bitwiseXOR(m).alias("v")))
-
-
-def hamming_pairs(df: DataFrame, key: str, hash_: str, radius: int, bands: int | None = None) -> DataFrame:
+def hamming_pairs(df: DataFrame, key: str, hash_: str, radius: int, block: int = 4096) -> DataFrame:
     """Pairs (a, b, distance), a < b, within the radius.
 
-    The hash is cut into ``bands`` bands; by the pigeonhole principle two hashes within the radius differ by at most
-    radius // bands bits in some band, so each row probes the band values that near and meets rows in an equi join. The
-    number of bands is chosen so that at most 2 bits of a band are flipped."""
-    bands = bands or max(1, -(-(radius + 1) // 3))
-    edges = [round(64 * k / bands) for k in range(bands + 1)]
-    flips = radius // bands
+    Up to 7 bits the hash is cut into radius + 1 bands, one of which two such hashes share (pigeonhole): an equi join. Wider
+    radii have no selective bands; rows then meet every block of at most ``block`` rows, compared there as arrays."""
+    base = df.select(F.col(key).alias("id"), F.col(hash_).alias("h"))
+    if radius <= 7:
+        edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
+        parts = F.array(*(F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)) for a, b in zip(edges[:-1], edges[1:], strict=True)))
+        left = base.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.posexplode(parts).alias("k", "v"))
+        right = base.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.posexplode(parts).alias("k", "v"))
+        distance = hamming(F.col("ha"), F.col("hb"))
+        return left.join(right, ["k", "v"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
+    import numpy as np
+    import pandas as pd
+
+    blocks = max(1, -(-df.count() // block))
+    data = base.withColumn("blk", F.pmod(F.hash("id"), F.lit(blocks))).withColumn("q", F.lit(False))
+    queries = base.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("q", F.lit(True))
 
-    def parts(column: Column, probe: bool) -> Column:
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, ask = pdf[~pdf["q"]], pdf[pdf["q"]]
+        ids, h = own["id"].to_numpy(), own["h"].to_numpy().view(np.uint64)
         out = []
-        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            value = F.shiftrightunsigned(column, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
-            masks = [0]
-            if probe:
-                for _ in range(flips):
-                    masks += [m ^ (1 << i) for m in masks for i in range(b - a)]
-            out.append(_probes(k, value, sorted(set(masks))))
-        return F.flatten(F.array(*out))
+        for i in range(0, len(ask), 512):
+            some = ask.iloc[i : i + 512]
+            bits = np.bitwise_count(some["h"].to_numpy().view(np.uint64)[:, None] ^ h[None, :])
+            x, y = np.nonzero((bits <= radius) & (some["id"].to_numpy()[:, None] < ids[None, :]))
+            out.append(pd.DataFrame({"a": some["id"].to_numpy()[x], "b": ids[y], "distance": bits[x, y].astype(np.int32)}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "distance": []})
 
-    left = df.select(F.col(key).alias("a"), F.col(hash_).alias("ha"), F.explode(parts(F.col(hash_), True)).alias("p"))
-    right = df.select(F.col(key).alias("b"), F.col(hash_).alias("hb"), F.explode(parts(F.col(hash_), False)).alias("q"))
-    near = left.join(right, (F.col("p") == F.col("q")) & (F.col("a") < F.col("b")))
-    return near.where(hamming(F.col("ha"), F.col("hb")) <= radius).select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance")).distinct()
+    return data.unionByName(queries).groupBy("blk").applyInPandas(compare, "a long, b long, distance int")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -106,7 +109,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/lumaspan-{spark.sparkContext.applicationId}")
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct().checkpoint()
     labels = nodes.select("id", F.col("id").alias("label")).checkpoint()
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
