@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumaspan.operators.storage import stored
+
 
 def median_sign_hash(vector: Column) -> Column:
     """64 bits, first value highest: is it above the median of the values but the first. A signed long."""
@@ -106,17 +108,14 @@ def merge_candidates(sources: dict[str, DataFrame]) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes: id; edges: a, b. Each node's least reachable id, by repeated minimum of neighbours with shortcuts."""
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/lumaspan-{spark.sparkContext.applicationId}")
     ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("label")).checkpoint()
+    both = stored(edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct())
+    labels = stored(nodes.select("id", F.col("id").alias("label")))
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("l"))
         up = labels.select(F.col("id").alias("u"), F.col("label").alias("ul"))
-        step = step.join(up, F.col("l") == F.col("u"), "left").select("id", "was", F.least("l", F.coalesce("ul", "l")).alias("label")).checkpoint()
+        step = stored(step.join(up, F.col("l") == F.col("u"), "left").select("id", "was", F.least("l", F.coalesce("ul", "l")).alias("label")))
         moved = step.where("was <> label").count()
         labels = step.select("id", "label")
         if not moved:
