@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaspan.llm import decontamination, jaccard, mixing, quality, sharding
-from lumaspan.llm.common import documents, stored
+from lumaspan.llm.common import documents, shielded, stored
 from lumaspan.tables import table
 
 #: Word shingles and similarity of the near-duplicate stage, and the share of shingles that its order counts.
@@ -22,11 +22,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that of the least doc_id. Documents without words stay."""
+    """One document of each group of linked ones: that of the least doc_id. Documents without words and rows without an id stay;
+    rows that repeat a doc_id are one document."""
     found = jaccard.join(docs, shingle=SHINGLE, percent=PERCENT, region=REGION)
     gone = stored(found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct())
     gone = F.broadcast(gone) if gone.count() <= jaccard.ID_ROWS else gone
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    docs, named = shielded(docs, "doc_id")
+    return named(docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix draws, a row per copy."""
-    return mixing.mixed(docs).select(*docs.columns)
+    docs, named = shielded(docs, "doc_id", "text", "source")
+    return named(mixing.mixed(docs).select(*docs.columns))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

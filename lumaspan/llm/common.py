@@ -48,6 +48,14 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def shielded(df: DataFrame, *own: str):
+    """The frame with all columns but ``own`` under neutral names, and what gives such a frame its names back: columns of the
+    input cannot clash with an operator's. Columns that an operator adds behind them keep their names."""
+    names = df.columns
+    inner = [c if c in own else f"_in{i}" for i, c in enumerate(names)]
+    return df.toDF(*inner), lambda out: out.toDF(*names, *out.columns[len(names):])
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

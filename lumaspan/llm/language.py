@@ -15,7 +15,8 @@ documented bound). Everything else uses all rows and whole texts.
 Null and empty texts have no text evidence and are decided by the rest; a null declaration, suffix or host is a value of
 its own (declarations and suffixes of rows without any say nothing: all such rows share one value). Ties go to
 the first language by code. Repeated rows are judged each. An empty table gives an empty result; without any
-labelled row ``fit`` raises ValueError. Other columns are ignored.
+labelled row ``fit`` returns None and op6 leaves the language null. Rows with a null key are not in the sample. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -64,10 +65,10 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> Model | None:
     """Fits on the whole texts of the ``sample_rows`` labelled rows of least key hash, counted where the texts are."""
-    labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    chosen = labelled.select(F.col(key).alias("_k"), F.xxhash64(F.lit(3), key).alias("_o")).orderBy("_o", "_k").limit(sample_rows).select("_k").distinct()
+    labelled = docs.select(F.col(key).alias("_k0"), F.col(label).alias("_l"), F.col(text).alias("_t")).where("_l is not null and _t is not null")
+    chosen = labelled.select(F.col("_k0").alias("_k"), F.xxhash64(F.lit(3), "_k0").alias("_o")).orderBy("_o", "_k").limit(sample_rows).select("_k").distinct()
 
     def run(batches):
         fold, sums = ascii_fold(), {}
@@ -82,10 +83,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
             at = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(got[at], 0))], ["_l", "_b", "_n"])
 
-    rows = labelled.join(F.broadcast(chosen), F.col(key) == F.col("_k"), "left_semi").select(F.col(label).alias("_l"), F.col(text).alias("_t"))
+    rows = labelled.join(F.broadcast(chosen), F.col("_k0") == F.col("_k"), "left_semi").select("_l", "_t")
     found = rows.mapInArrow(run, "_l string, _b long, _n long").groupBy("_l", "_b").agg(F.sum("_n").alias("_n")).collect()  # buckets x languages at most
     if not found:
-        raise ValueError("no labelled rows")
+        return None
     languages = sorted({r["_l"] for r in found})
     counts = np.ones((buckets, len(languages)))
     for r in found:
@@ -172,6 +173,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents (source as host, their lang as declared) and all pages: doc_id or page_id, lang, confidence, text_lang."""
     docs, web = documents(spark, sf_dir), pages(spark, sf_dir)
     model = fit(docs)
+    if model is None:
+        unknown = [F.lit(None).cast(kind).alias(c) for c, kind in (("lang", "string"), ("confidence", "double"), ("text_lang", "string"))]
+        return docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), *unknown).unionByName(
+            web.select(F.lit(None).cast("long").alias("doc_id"), "page_id", *unknown))
     a = identify_documents(docs, model).withColumn("page_id", F.lit(None).cast("long"))
     b = identify_pages(web, model).withColumn("doc_id", F.lit(None).cast("long"))
     return a.unionByName(b).select("doc_id", "page_id", "lang", "confidence", "text_lang")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumaspan.llm.common import documents, small, stored, words_of
+from lumaspan.llm.common import documents, shielded, small, stored, words_of
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -122,13 +122,14 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The documents of the mix, a row per copy, with the input's columns and _shard, _order (shuffles within a shard)."""
+    """The documents of the mix, a row per copy, with the input's columns and, behind them, _shard and _order (shuffles within a shard)."""
+    docs, named = shielded(docs, key, text, source)
     chosen = plan(docs, key, text, source, **how).where("_copies > 0").groupBy("_key", "_size", "_source").agg(
         F.first("_copies").alias("_copies"), F.first("_shards").alias("_shards"), F.first("_u").alias("_u"))
     sized = docs.withColumn("_n", F.size(words_of(F.col(text))).cast("long"))
     on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("_size")) & F.col(source).eqNullSafe(F.col("_source"))
-    return sized.join(chosen, on).select(*docs.columns, "_u", F.posexplode("_shards").alias("_copy", "_shard")).select(
-        *docs.columns, "_shard", F.xxhash64(F.lit(how.get("seed", SEED)), "_u", "_copy").alias("_order"))
+    return named(sized.join(chosen, on).select(*docs.columns, "_u", F.posexplode("_shards").alias("_copy", "_shard")).select(
+        *docs.columns, "_shard", F.xxhash64(F.lit(how.get("seed", SEED)), "_u", "_copy").alias("_order")))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaspan.llm.common import GAP_CHARS, documents, small, stored, whole, words_of
+from lumaspan.llm.common import GAP_CHARS, documents, shielded, small, stored, whole, words_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -100,12 +100,13 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
 def reject(docs: DataFrame, text: str = "text", host: str = "source", reject_rate: float = REJECT_RATE) -> DataFrame:
     """The rows of ``docs`` that are kept, columns as they are. Texts are read twice and never shuffled."""
+    docs, named = shielded(docs, text, host)
     counts = measured(docs.select(text, F.col(host).alias("_q_host")), text, ("_q_host",)).withColumn("_q_failed", failed())
     hosts = stored(host_verdicts(counts, "_q_host", "_q_failed", reject_rate)).where("_rejected").select("_host")
     # a generator of one row or none: a filter would be pushed below the counts and evaluate them again for each use
     good = measured(docs, text).withColumn("_q_failed", failed())
     good = good.select(*docs.columns, F.explode(F.when(~F.col("_q_failed"), F.array(F.lit(1)))).alias("_q_one")).select(*docs.columns)
-    return good.join(small(hosts), F.col(host).eqNullSafe(F.col("_host")), "left_anti")
+    return named(good.join(small(hosts), F.col(host).eqNullSafe(F.col("_host")), "left_anti"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
