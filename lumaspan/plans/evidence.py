@@ -185,3 +185,60 @@ def ordered_log(spark, sf):
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), F.substring("text", 1, 60)).alias("c"), F.row_number().over(w).alias("n")).where("n <= 5")
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "c"))), lambda s: s.c), "\n").alias("log"), F.count("*").alias("lines"))
+
+
+@query("""WITH a AS (SELECT c_custkey, c_nationkey, c_mktsegment, unnest([c_mktsegment, CAST(c_nationkey AS VARCHAR)]) AS term, unnest([0, 1]) AS pos FROM customer),
+h AS (SELECT c_nationkey % 7 AS id, pos, min(c_custkey) AS first, term FROM a GROUP BY 1, 2, 4)
+SELECT id, string_agg(term, '|' ORDER BY pos, first) AS terms, min(pos) AS best FROM h GROUP BY id""")
+def merged_alias_hits(spark, sf):
+    """Hits of several search terms become one row an id: its terms in order of search, the primary term first."""
+    terms = F.posexplode(F.array("c_mktsegment", F.col("c_nationkey").cast("string")))
+    a = table(spark, sf, "customer").select("c_custkey", (F.col("c_nationkey") % 7).alias("id"), terms.alias("pos", "term"))
+    h = a.groupBy("id", "pos", "term").agg(F.min("c_custkey").alias("first"))
+    in_order = F.array_sort(F.collect_list(F.struct("pos", "first", "term")))
+    return h.groupBy("id").agg(F.array_join(F.transform(in_order, lambda x: x.term), "|").alias("terms"), F.min("pos").alias("best"))
+
+
+@query("""SELECT p_partkey, l_orderkey IS NULL AS missing, coalesce(t, replace(p_name, '&amp;', '&')) AS title FROM part LEFT JOIN (SELECT l_partkey, min(l_orderkey) AS l_orderkey, min(l_returnflag || l_linestatus) AS t FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey""")
+def metadata_enrichment(spark, sf):
+    """Metadata by id; rows without any stay and are marked."""
+    m = table(spark, sf, "lineitem").where("l_quantity > 45").groupBy("l_partkey").agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("t"))
+    j = table(spark, sf, "part").join(m, F.col("l_partkey") == F.col("p_partkey"), "left")
+    return j.select("p_partkey", F.col("l_partkey").isNull().alias("missing"), F.coalesce("t", F.replace("p_name", F.lit("&amp;"), F.lit("&"))).alias("title"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN c_mktsegment = 'BUILDING' AND o_orderstatus IN ('O', 'P') THEN 'cancelled' WHEN c_mktsegment = 'MACHINERY' AND o_orderstatus = 'F' THEN 'queued' ELSE o_orderstatus END AS status, c_mktsegment = 'BUILDING' AND o_orderstatus = 'P' AS cancel_requested FROM orders JOIN customer ON c_custkey = o_custkey""")
+def cancel_and_retry(spark, sf):
+    """Cancelled batches take their open tasks along, running ones by request; retried batches queue their finished ones again."""
+    j = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), F.col("c_custkey") == F.col("o_custkey"))
+    batch, s = F.col("c_mktsegment"), F.col("o_orderstatus")
+    status = F.when((batch == "BUILDING") & s.isin("O", "P"), "cancelled").when((batch == "MACHINERY") & (s == "F"), "queued").otherwise(s)
+    return j.select("o_orderkey", status.alias("status"), ((batch == "BUILDING") & (s == "P")).alias("cancel_requested"))
+
+
+@query("""WITH d AS (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS selected, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT o_orderkey, CASE WHEN d.n IS NULL THEN 'pending' WHEN o_orderstatus = 'F' AND selected THEN 'applied' WHEN selected THEN 'decided' ELSE 'kept' END AS state, coalesce(d.n, 0) AS images FROM orders LEFT JOIN d ON l_orderkey = o_orderkey""")
+def review_states(spark, sf):
+    """Decisions joined to their groups: pending without any, decided, applied when the batch is done, else kept."""
+    d = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("selected"), F.count("*").alias("n"))
+    j = table(spark, sf, "orders").join(d, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    state = F.when(F.col("n").isNull(), "pending").when((F.col("o_orderstatus") == "F") & F.col("selected"), "applied").when(F.col("selected"), "decided").otherwise("kept")
+    return j.select("o_orderkey", state.alias("state"), F.coalesce("n", F.lit(0).cast("long")).alias("images"))
+
+
+@query("""SELECT event_id, list_sort(list_intersect([event_type, CAST(user_id % 3 AS VARCHAR)], ['view', '1', 'purchase']))::VARCHAR[] AS shared, len(list_filter([event_type, CAST(user_id % 3 AS VARCHAR)], lambda x: NOT list_contains(['view', '1', 'purchase'], x))) = 0 AS is_subset FROM events""")
+def key_sets(spark, sf):
+    """What two sets of keys share, and whether the first lies in the second."""
+    own, other = F.array("event_type", (F.col("user_id") % 3).cast("string")), F.array(*map(F.lit, ("view", "1", "purchase")))
+    return table(spark, sf, "events").select("event_id", F.array_sort(F.array_intersect(own, other)).alias("shared"), (F.size(F.array_except(own, other)) == 0).alias("is_subset"))
+
+
+@query("""WITH s AS (SELECT n_regionkey, bool_or(n_nationkey % 9 = 0) AS failed, string_agg(n_name, '; ' ORDER BY n_name) FILTER (n_nationkey % 9 = 0) AS message FROM nation GROUP BY 1)
+SELECT r_regionkey, CASE WHEN failed THEN 'partial' ELSE 'complete' END AS state, coalesce(message, '') AS message FROM region LEFT JOIN s ON n_regionkey = r_regionkey""")
+def failure_propagation(spark, sf):
+    """A failed source makes those that depend on it partial, with its messages."""
+    bad = F.col("n_nationkey") % 9 == 0
+    names = F.slice(F.array_sort(F.collect_list(F.when(bad, F.col("n_name")))), 1, 3)
+    s = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.bool_or(bad).alias("failed"), F.array_join(names, "; ").alias("message"))
+    j = table(spark, sf, "region").join(s, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return j.select("r_regionkey", F.when(F.col("failed"), "partial").otherwise("complete").alias("state"), F.coalesce("message", F.lit("")).alias("message"))
