@@ -112,7 +112,7 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     best = stored(best.withColumnRenamed("_s", "_s3"))
     chosen = F.col("_best").isNotNull() & F.struct("_key", "_size", "_u").eqNullSafe(F.col("_best"))
     drawn_rows = rest.unionByName(at_cut).join(small(best, n), F.col("_source").eqNullSafe(F.col("_s3")), "left").withColumn("_in", F.col("_in") | chosen)
-    copies = F.col("_passes") + F.col("_in").cast("int")
+    copies = F.least(F.lit(most), F.col("_passes") + F.col("_in").cast("int"))  # texts without words fit any rest
     dealt_to = F.slice(F.coalesce("_dealt", F.array().cast("array<int>")), F.lit(1), copies)
     dealt = small(dealt.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "_dealt"), n * BLOCKS)
     return drawn_rows.withColumn("_b0", F.floor(F.col("_cell") / per_block).cast("int")).join(
