@@ -9,9 +9,11 @@ shingle; without words the set is empty and links with nothing), as 64-bit hashe
    texts they are in and then by hash, the others after them by hash. A class must share a signature with each class it
    links with if the signatures of its prefix survive any |set| - ceil(percent / 100 * |set|) missing shingles. Rare
    shingles are signatures of their own and add one to what a prefix survives; frequent ones are indexed as pairs
-   within groups of shingles, and a group of g adds g - 1, so the prefix is extended for them. Sets of less than 10
-   at 90 percent can only link with equal ones. Groups depend on the level (the binary size class); near a level's lower
-   end a class is indexed at the level below as well, so linked classes have a level in common.
+   within groups of shingles, and a group of g adds g - 1, so the prefix is extended for them. Classes that can
+   link with no other size and lack nothing (less than 9 shingles at 90 percent) link with equal ones only and have no
+   prefix; a set of 9 lacks nothing either, but links with one of 10 around it. Groups depend on the level (the binary
+   size class); near a level's lower end a class is indexed at the level below as well, so linked classes have a level
+   in common.
 3. Stars. Each signature's classes are compared with one of them, the one with the largest share of shingles that others have: linear
    in the number of signatures, and enough to join most copies. Their components follow.
 4. The rest. Within a signature, classes outside its most frequent component are compared with all classes in other
@@ -73,6 +75,11 @@ def missing(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
+def only_equal(n: int, percent: int) -> bool:
+    """A set of n links with equal sets alone: it may lack nothing, and no larger set may hold it."""
+    return missing(n, percent) == 0 and 100 * n // percent == n
+
+
 def levels(n: int, percent: int) -> list[int]:
     top = n.bit_length() - 1
     low = max(1, -(-percent * n // 100)).bit_length() - 1
@@ -146,7 +153,7 @@ def token_table(docs: DataFrame, text: str, k: int, percent: int, region: float)
         for batch in batches:
             hs, cs, lens = [], [], []
             for _, s in sets(batch, text, k):
-                if missing(len(s), percent) and (c := set_id(s)) not in seen:
+                if not only_equal(len(s), percent) and (c := set_id(s)) not in seen:
                     seen.add(c)
                     t = region_tokens(s, percent, region)
                     hs.append(t)

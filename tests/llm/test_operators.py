@@ -66,6 +66,16 @@ def test_jaccard_components(docs):
     assert got == {k: (len(sets[k]), root[k]) for k in sets}
 
 
+def test_jaccard_links_the_largest_sets_that_lack_nothing(spark):
+    w = WORDS[:11]
+    rows = [(0, w), (1, [*w, "after"]), (2, ["before", *w]), (3, w[:10]), (4, WORDS[20:26]), (5, [*WORDS[20:26], "after"]), (6, WORDS[40:51]), (7, [*WORDS[40:50], "other"])]
+    rows += [(10 + k, [*w[:8], *WORDS[100 + 3 * k : 103 + 3 * k]]) for k in range(40)]  # the first shingles are frequent
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    for percent, extra in ((90, {}), (80, {3: 0, 5: 4})):
+        got = {r.doc_id: r.component_id for r in jaccard.join(df, percent=percent).collect()}
+        assert got == {k: k for k, _ in rows} | {1: 0, 2: 0} | extra | ({7: 6} if percent == 80 else {})
+
+
 def test_suffix_runs(spark):
     shared = words(120)
     rows = [(0, shared), (1, words(20) + shared[:450] + words(30)), (2, "x" * 900), (3, None), (4, ""), (5, words(200)), (6, "y" * 400), (7, shared[:399])]
