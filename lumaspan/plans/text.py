@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumaspan.functions.rules import redacted
 from lumaspan.tables import table
 
 QUERIES, SQL = {}, {}
@@ -20,7 +21,8 @@ def query(sql: str):
 @query(r"""SELECT doc_id, CASE WHEN length(t) > 4000 THEN left(t, 3999) || '…' ELSE t END AS text FROM (SELECT doc_id,
   regexp_replace(regexp_replace(regexp_replace(text, '(://)[^/\s:@]+:[^/\s@]+@', '\1***@', 'g'), '(?i)\b(token|secret|password|api[_-]?key)(\s*[=:]\s*)[^\s&;,]+', '\1\2***', 'g'), '(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer ***', 'g') AS t FROM documents)""")
 def redacted_text(spark, sf):
-    """User info of urls, then key = value secrets, then bearer tokens; 4,000 characters are kept, as the log does."""
+    """A log line's short form: user info of urls, then key = value secrets, then bearer tokens; 4,000 characters are kept.
+    ``redacted_documents`` redacts whole texts by all rules."""
     t = F.regexp_replace("text", r"(://)[^/\s:@]+:[^/\s@]+@", "$1***@")
     t = F.regexp_replace(t, r"(?i)\b(token|secret|password|api[_-]?key)(\s*[=:]\s*)[^\s&;,]+", "$1$2***")
     t = F.regexp_replace(t, r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer ***")
@@ -28,6 +30,14 @@ def redacted_text(spark, sf):
     return d.select("doc_id", F.when(F.length("t") > 4000, F.concat(F.substring("t", 1, 3999), F.lit("…"))).otherwise(F.col("t")).alias("text"))
 
 
+def redacted_documents(spark, sf):
+    """Whole documents, redacted by all rules. No SQL: DuckDB's patterns cannot look back."""
+    return table(spark, sf, "documents").select("doc_id", redacted(F.col("text")).alias("text"))
+
+
+QUERIES["redacted_documents"] = redacted_documents
+
+
 @query(r"""WITH e AS (SELECT event_id, event_type, coalesce(TRY_CAST(regexp_extract(props, '"k":\s*(\d+)', 1) AS INT), -1) AS code FROM events)
 SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'success' WHEN code < 0 THEN 'unknown' WHEN code & 64 <> 0 THEN 'authorization' WHEN code & 32 <> 0 THEN 'unsupported' WHEN code & 16 <> 0 THEN 'authentication' WHEN code & 8 <> 0 THEN 'not_found' WHEN code & 4 <> 0 THEN 'http' ELSE 'transient' END AS outcome FROM e""")
 def classified_results(spark, sf):
