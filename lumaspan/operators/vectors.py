@@ -19,11 +19,26 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
+def block_pairs(base: DataFrame, block: int) -> DataFrame:
+    """Rows dealt by id into blocks of about ``block`` rows (blk), repeated for each two blocks i <= j of which theirs is one."""
+    blocks = max(1, -(-base.count() // block))
+    rows = base.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return rows.select("*", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j")).drop("o")
+
+
+def sides(pdf):
+    """(asking rows, rows of the other block) in both directions; a block with itself once."""
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    x, y = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
+    return [(x, x)] if i == j else [(x, y), (y, x)]
+
+
 def hamming_pairs(df: DataFrame, key: str, hash_: str, radius: int, block: int = 4096) -> DataFrame:
     """Pairs (a, b, distance), a < b, within the radius.
 
     Up to 7 bits the hash is cut into radius + 1 bands, one of which two such hashes share (pigeonhole): an equi join. Wider
-    radii have no selective bands; rows then meet every block of at most ``block`` rows, compared there as arrays."""
+    radii have no selective bands; about ``block`` rows make a block, and each two blocks are compared as arrays in a task of their own."""
     base = df.select(F.col(key).alias("id"), F.col(hash_).alias("h"))
     if radius <= 7:
         edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
@@ -35,22 +50,18 @@ def hamming_pairs(df: DataFrame, key: str, hash_: str, radius: int, block: int =
     import numpy as np
     import pandas as pd
 
-    blocks = max(1, -(-df.count() // block))
-    data = base.withColumn("blk", F.pmod(F.hash("id"), F.lit(blocks))).withColumn("q", F.lit(False))
-    queries = base.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("q", F.lit(True))
-
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, ask = pdf[~pdf["q"]], pdf[pdf["q"]]
-        ids, h = own["id"].to_numpy(), own["h"].to_numpy().view(np.uint64)
-        out = []
-        for i in range(0, len(ask), 512):
-            some = ask.iloc[i : i + 512]
-            bits = np.bitwise_count(some["h"].to_numpy().view(np.uint64)[:, None] ^ h[None, :])
-            x, y = np.nonzero((bits <= radius) & (some["id"].to_numpy()[:, None] < ids[None, :]))
-            out.append(pd.DataFrame({"a": some["id"].to_numpy()[x], "b": ids[y], "distance": bits[x, y].astype(np.int32)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "distance": []})
+        out = [pd.DataFrame({"a": [], "b": [], "distance": []})]
+        for ask, own in sides(pdf):
+            ids, h = own["id"].to_numpy(), own["h"].to_numpy().view(np.uint64)
+            for i in range(0, len(ask), 512):
+                some = ask.iloc[i : i + 512]
+                bits = np.bitwise_count(some["h"].to_numpy().view(np.uint64)[:, None] ^ h[None, :])
+                x, y = np.nonzero((bits <= radius) & (some["id"].to_numpy()[:, None] < ids[None, :]))
+                out.append(pd.DataFrame({"a": some["id"].to_numpy()[x], "b": ids[y], "distance": bits[x, y].astype(np.int32)}))
+        return pd.concat(out)
 
-    return data.unionByName(queries).groupBy("blk").applyInPandas(compare, "a long, b long, distance int")
+    return block_pairs(base, block).groupBy("i", "j").applyInPandas(compare, "a long, b long, distance int")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -60,21 +71,19 @@ def dot(a: Column, b: Column) -> Column:
 def cosine_topk(df: DataFrame, key: str, vector: str, k: int, floor: float, block: int = 4096) -> DataFrame:
     """Directed neighbours (a, b, similarity): the k best other rows of each row, at the floor or above; ties by key.
 
-    Rows are scored against the vectors in blocks that fit a task: queries are sent to every block by key of the
-    block, scored there by one matrix product, and each block's best k go to a window per row."""
+    About ``block`` rows make a block. Each two blocks are scored in a task of their own by matrix products, and the best k
+    of each row there go to a window per row."""
     import numpy as np
     import pandas as pd
 
-    blocks = max(1, -(-df.count() // block))
     base = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    data = base.withColumn("blk", F.pmod(F.hash("id"), F.lit(blocks))).withColumn("q", F.lit(False))
-    queries = base.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("q", F.lit(True))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[~pdf["q"]].sort_values("id")
-        ask = pdf[pdf["q"]]
-        out = []
-        if len(own) and len(ask):
+        out = [pd.DataFrame({"a": [], "b": [], "similarity": []})]
+        for ask, own in sides(pdf):
+            if not len(own):
+                continue
+            own = own.sort_values("id")
             m, ids = np.array(own["v"].tolist(), np.float64), own["id"].to_numpy()
             for i in range(0, len(ask), 1024):
                 part = ask.iloc[i : i + 1024]
@@ -84,9 +93,9 @@ def cosine_topk(df: DataFrame, key: str, vector: str, k: int, floor: float, bloc
                     best = np.lexsort((ids, -row))[:k]
                     best = best[row[best] >= floor]
                     out.append(pd.DataFrame({"a": a, "b": ids[best], "similarity": row[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "similarity": []})
+        return pd.concat(out)
 
-    found = data.unionByName(queries).groupBy("blk").applyInPandas(score, "a long, b long, similarity double")
+    found = block_pairs(base, block).groupBy("i", "j").applyInPandas(score, "a long, b long, similarity double")
     w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
