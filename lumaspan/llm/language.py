@@ -21,6 +21,8 @@ ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,8 @@ SAMPLE_ROWS = 2_000
 BUCKETS = 1 << 14
 MAX_WEIGHT = 60.0
 PSEUDO_SUFFIX, PSEUDO_HOST, PSEUDO_DECLARED = 20.0, 5.0, 2.0
+OPENS = re.compile(rb"<(?:(!--|(?:script|style)(?=[\s/>]))|[a-z/!?])", re.I)
+ENDS = {b"!--": re.compile(b"-->"), b"script": re.compile(rb"</script", re.I), b"style": re.compile(rb"</style", re.I)}
 
 
 def trigram_buckets(text: np.ndarray, buckets: int) -> np.ndarray:
@@ -44,10 +48,23 @@ def trigram_buckets(text: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def without_tags(text: np.ndarray) -> np.ndarray:
-    """Markup's text: what stands between < and > becomes spaces."""
-    opens, closes = text == 60, text == 62
-    depth = np.cumsum(opens.astype(np.int32)) - np.cumsum(np.concatenate(([False], closes[:-1])).astype(np.int32))
-    return np.where((depth > 0) | closes, np.uint8(32), text)
+    """Markup's text: comments, scripts, styles and tags become spaces. A tag opens where < is followed by a letter, /, ! or ?
+    and ends at the next >; without one, or without its end mark, nothing after it is taken for markup."""
+    page, out, pos, unclosed = text.tobytes(), text.copy(), 0, set()
+    last = page.rfind(b">") + 1
+    while m := OPENS.search(page, pos, last):
+        name = (m[1] or b"").lower()
+        pos = page.find(b">", m.end()) + 1
+        if name and name not in unclosed:
+            end = ENDS[name].search(page, m.start() + 2 if name == b"!--" else pos)
+            if end:
+                pos = end.end() if name == b"!--" else end.start()
+            else:
+                unclosed.add(name)
+        if not pos:
+            break
+        out[m.start() : pos] = 32
+    return out
 
 
 class Model:

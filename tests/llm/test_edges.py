@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,12 @@ def test_language_of_held_out_texts_and_weak_evidence(spark):
     rows = [make(k) for k in range(60)] + [(200, None, "fr", "h2"), (201, "", None, "h1")]
     got = {r.doc_id: r for r in language.identify_documents(spark.createDataFrame(rows, kind), model).collect()}
     assert got[200].lang == "fr" and got[200].text_lang is None and got[201].lang == "en"
+
+
+def test_text_after_unmatched_brackets_is_read():
+    read = lambda t: bytes(language.without_tags(np.frombuffer(t, np.uint8))).decode().split()
+    assert read(b"<script>for(i=0;i<n;i++){}</script><p>hello text</p>") == ["hello", "text"]
+    assert read(b"<p>3 < 5 and a > b</p>end") == ["3", "<", "5", "and", "a", ">", "b", "end"]
+    assert read(b"<!-- <b> x --><STYLE>a>b{}</style >one<br/>two <b three") == ["one", "two", "<b", "three"]
+    assert read(b"<!-- open <p>one</p><script>two") == ["one", "two"]
+    assert read(b"") == [] and read(b"<") == ["<"] and read(b"<!-->a") == ["a"]
