@@ -36,6 +36,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"
 ATTR = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
+RAW_END = {t: re.compile("</" + t, re.I | re.A) for t in RAW}
 SILENT = frozenset("head script style title template textarea select iframe object svg math canvas audio video".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split()
@@ -58,7 +59,6 @@ class Page:
         self.size, self.links, self.at, self.end = [0], [0], [0], [len(html)]
         self.pieces: list[tuple[int, int, str]] = []  # (block number, node, text)
         stack, inline, block, silent, pos, n = [0], [], 0, 0, 0, len(html)
-        lower = None
         while pos < n:
             m = TOKEN.search(html, pos)
             stop = m.start() if m else n
@@ -120,8 +120,8 @@ class Page:
             self.at.append(m.start())
             self.end.append(n)
             if name in RAW:
-                lower = html.lower() if lower is None or len(lower) != n else lower
-                close = lower.find("</" + name, pos) if len(lower) == n else -1
+                found = RAW_END[name].search(html, pos)
+                close = found.start() if found else -1
                 pos = n if close < 0 else (html.find(">", close) + 1 or n)
                 if name not in SILENT:
                     self._text(html[m.end() : close if close >= 0 else n], len(self.tag) - 1, block, False)

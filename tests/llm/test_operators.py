@@ -123,6 +123,11 @@ def test_html_blocks_and_held_out_pages():
     assert wrong < 0.03 * total
 
 
+def test_html_end_tags_where_lower_case_is_longer():
+    page = "<html><head><title>t</title><STYLE>p{}</Style></head><body><article><h1>A</h1><p>\u0130stanbul one two</article></body></html>"
+    assert html.main_texts([page], html.trained()) == ["A\n\u0130stanbul one two"]
+
+
 def test_sharding(docs, empty):
     rows = sharding.assign(docs).collect()
     texts = {k: t for k, t, *_ in corpus()}
