@@ -11,11 +11,11 @@ Every byte covered by a string of ``LENGTH`` bytes that starts at another place
    strings are at the same distance from it. Neighbours in this order that agree in ``LENGTH`` bytes, compared
    byte by byte, repeat.
 3. Buckets of more than ``SUB`` pieces are dealt to several sub-buckets by text; what repeats only across them is found by
-   counting digests of the strings, one for each distinct string and sub-bucket.
+   counting 128-bit digests of the strings' own bytes, one for each distinct string and sub-bucket.
 4. The runs of repeated strings go back to their texts by an equi join.
 
-Texts are handled once for each distinct text (by a 64-bit hash): a text that occurs twice and is long enough repeats as a
-whole. Null and shorter texts lose nothing (null: no bytes). Repeated rows are texts of their own that repeat each other. An empty
+Texts are handled once for each distinct text (by a 128-bit digest): a text that occurs twice and is long enough repeats as a
+whole. A task passes a text on once, before any shuffle, so copies of a hot text do not travel. Null and shorter texts lose nothing (null: no bytes). Repeated rows are texts of their own that repeat each other. An empty
 table gives an empty result. Very long texts are handled whole. Other columns are ignored.
 """
 
@@ -25,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaspan.llm.common import documents, stored, whole
@@ -35,7 +35,7 @@ from lumaspan.llm.hashing import _powers as powers
 LENGTH = 400
 GRAM = 32
 COVER = 64
-SUB = 4096
+SUB = 1024
 BLOCK_BYTES = 2 << 20
 
 
@@ -151,17 +151,28 @@ def anchor_table(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """texts: _t, _text. A row per anchor of each distinct text (of a task): _t, _p, _lo, _hi, _h."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             data, at = text_bytes(batch.column("_text"))
-            ids = batch.column("_t").to_numpy()
+            ids = batch.column("_t")
             for i, j in pieces(at):
                 k, *found = anchors(data[at[i] : at[j]], at[i : j + 1] - at[i], length, gram)
-                fresh = np.array([t not in seen and not seen.add(t) for t in ids[i:j].tolist()], bool)[k]
+                fresh = np.array([t not in seen and not seen.add(t) for t in ids.slice(i, j - i).to_pylist()], bool)[k]
                 p, lo, hi, h = (x[fresh] for x in found)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i:j][k[fresh]], p, lo, hi, h.view(np.int64))], ["_t", "_p", "_lo", "_hi", "_h"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + k[fresh])), *(pa.array(x) for x in (p, lo, hi, h.view(np.int64)))], ["_t", "_p", "_lo", "_hi", "_h"])
 
-    return texts.mapInArrow(run, "_t long, _p long, _lo long, _hi long, _h long")
+    return texts.mapInArrow(run, "_t binary, _p long, _lo long, _hi long, _h long")
+
+
+def once(texts: DataFrame) -> DataFrame:
+    """texts: _t, _text. Of each task's rows, the first of each text."""
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            yield batch.filter(pa.array([t not in seen and not seen.add(t) for t in batch.column("_t").to_pylist()], pa.bool_()))
+
+    return texts.mapInArrow(run, texts.schema)
 
 
 def piece_table(texts: DataFrame, length: int) -> DataFrame:
@@ -171,7 +182,7 @@ def piece_table(texts: DataFrame, length: int) -> DataFrame:
     rows without a piece, known to repeat."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             rows = []
             data, at = text_bytes(batch.column("_text"))
@@ -191,10 +202,10 @@ def piece_table(texts: DataFrame, length: int) -> DataFrame:
                             rows.append((*same, None))
                             alike[x["_p"] - x["_lo"], piece] = ()
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64()] * 6 + [pa.binary()]
+            kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_h", "_t", "_lo", "_hi", "_p", "_m", "_piece"])
 
-    return texts.mapInArrow(run, "_h long, _t long, _lo long, _hi long, _p long, _m long, _piece binary")
+    return texts.mapInArrow(run, "_h long, _t binary, _lo long, _hi long, _p long, _m long, _piece binary")
 
 
 def sorted_blocks(pieces_: DataFrame, length: int, v: int, sub: int) -> DataFrame:
@@ -203,33 +214,36 @@ def sorted_blocks(pieces_: DataFrame, length: int, v: int, sub: int) -> DataFram
     def block(rows: list[tuple]):
         known = [r for r in rows if r[7] is None]
         rows = [r for r in rows if r[7] is not None]
-        out = [(np.array([r[2] for r in known], np.int64), np.array([r[3] for r in known], np.int64), np.array([r[4] + length for r in known], np.int64),
-                np.zeros(len(known), np.int64), np.zeros(len(known), bool))]
+        out = [(names([r[2] for r in known]), np.array([r[3] for r in known], np.int64), np.array([r[4] + length for r in known], np.int64), names([None] * len(known)))]
         if rows:
             out += suffixes(rows)
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3], mask=~cols[4])], ["_t", "_a", "_b", "_d"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3], pa.binary())], ["_t", "_a", "_b", "_d"])
+
+    def names(found: list) -> np.ndarray:
+        out = np.empty(len(found), object)
+        out[:] = found
+        return out
 
     def suffixes(rows: list[tuple]):
-        names, groups = {}, []
+        numbers, groups = {}, []
         for h, s, *_ in rows:
-            groups.append(names.setdefault((h, s), len(names)))
+            groups.append(numbers.setdefault((h, s), len(numbers)))
         zero = np.array([p - lo for _, _, _, lo, _, p, _, _ in rows], np.int64)
         counts = np.array([hi - lo + 1 for _, _, _, lo, hi, _, _, _ in rows], np.int64)
-        ts, los = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+        ts, los = names([r[2] for r in rows]), np.array([r[3] for r in rows], np.int64)
         which, place, repeats, number, start, data = repeated_starts([r[7] for r in rows], np.array(groups, np.int64), zero, counts, length, v)
         k, a, b = runs(which[repeats], place[repeats])
-        out = [(ts[k], los[k] + a, los[k] + b + length, np.zeros(len(k), np.int64), np.zeros(len(k), bool))]
+        out = [(ts[k], los[k] + a, los[k] + b + length, names([None] * len(k)))]
         split = np.array([r[6] > sub for r in rows], bool)
         if split.any():
             open_ = np.flatnonzero(split[which])
             _, first = np.unique(number[open_], return_index=True)
             open_ = open_[first]
-            s, (_, q) = prefix_sums(data), powers(len(data) + 1)
-            with np.errstate(over="ignore"):
-                d = mix((s[start[open_] + length] - s[start[open_]]) * q[start[open_]]).view(np.int64)
+            own = data.tobytes()
+            d = names([hashlib.blake2b(own[x : x + length], digest_size=16).digest() for x in start[open_].tolist()])
             at = los[which[open_]] + place[open_]
-            out.append((ts[which[open_]], at, np.where(repeats[open_], -1, at + length), d, np.ones(len(open_), bool)))
+            out.append((ts[which[open_]], at, np.where(repeats[open_], -1, at + length), d))
         return out
 
     def run(batches):
@@ -248,18 +262,22 @@ def sorted_blocks(pieces_: DataFrame, length: int, v: int, sub: int) -> DataFram
 
     salted = pieces_.withColumn("_s", F.when(F.col("_m") > sub, F.pmod(F.xxhash64("_t"), F.ceil(F.col("_m") / sub))).otherwise(0))
     dealt = salted.repartition("_h", "_s").sortWithinPartitions("_h", "_s", "_t", "_p")
-    return dealt.select("_h", "_s", "_t", "_lo", "_hi", "_p", "_m", "_piece").mapInArrow(run, "_t long, _a long, _b long, _d long")
+    return dealt.select("_h", "_s", "_t", "_lo", "_hi", "_p", "_m", "_piece").mapInArrow(run, "_t binary, _a long, _b long, _d binary")
+
+
+def text_id(text: str) -> Column:
+    return F.unhex(F.md5(F.encode(text, "utf-8")))
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, v: int = COVER, sub: int = SUB) -> DataFrame:
-    """_t (hash of a text), _runs (bytes [_a, _b) that go, merged in ``remove``) of the texts that hold repeated strings."""
-    texts = docs.where(F.octet_length(text) >= length).select(F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
+    """_t (digest of a text), _runs (bytes [_a, _b) that go, merged in ``remove``) of the texts that hold repeated strings."""
+    texts = docs.where(F.octet_length(text) >= length).select(text_id(text).alias("_t"), F.col(text).alias("_text"))
     found = stored(anchor_table(texts, length, gram))
     me = F.struct("_t", "_p")
     again = found.groupBy("_h").agg(F.min(me).alias("_x"), F.max(me).alias("_y"), F.count("*").alias("_m")).where("_x != _y").select("_h", "_m")
     again = stored(again)  # so that the join is dealt by itself and hot anchors can be split
     held = stored(found.join(again, "_h").groupBy("_t").agg(F.collect_set(F.struct("_p", "_lo", "_hi", "_h", "_m")).alias("_anchors")))
-    out = stored(sorted_blocks(piece_table(texts.join(held, "_t").select("_t", "_text", "_anchors"), length), length, v, sub))
+    out = stored(sorted_blocks(piece_table(once(texts).join(held, "_t").select("_t", "_text", "_anchors"), length), length, v, sub))
     across = out.where("_d is not null")
     many = across.groupBy("_d").agg(F.count("*").alias("_k")).where("_k > 1").select("_d")
     across = across.where("_b >= 0").join(many, "_d").select("_t", "_a", "_b")
@@ -279,10 +297,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, v: int = COVER, sub: int = SUB) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), spans (removed [start, end))."""
     docs = docs.select(key, text)
-    several = docs.where(F.octet_length(text) >= length).groupBy(F.xxhash64(text).alias("_t")).agg(F.count("*").alias("_c")).where("_c > 1")
+    several = docs.where(F.octet_length(text) >= length).groupBy(text_id(text).alias("_t")).agg(F.count("*").alias("_c")).where("_c > 1")
     found = repeated_runs(docs, text, length, gram, v, sub)
     gone = stored(found.join(several.select("_t", F.lit(True).alias("_all")), "_t", "full_outer"))
-    rows = docs.select(F.col(key), whole(F.col(text)).alias("_text"), F.xxhash64(text).alias("_t")).join(gone, "_t", "left")
+    rows = docs.select(F.col(key), whole(F.col(text)).alias("_text"), text_id(text).alias("_t")).join(gone, "_t", "left")
 
     def run(batches):
         for batch in batches:
@@ -310,4 +328,5 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove(documents(spark, sf_dir)).drop("kept")
+    """Besides the counts and the digest, text: what is left of the document (a character cut in two shows as U+FFFD)."""
+    return remove(documents(spark, sf_dir)).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")

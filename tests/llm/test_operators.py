@@ -79,7 +79,10 @@ def test_jaccard_links_the_largest_sets_that_lack_nothing(spark):
 def test_suffix_runs(spark):
     shared = words(120)
     rows = [(0, shared), (1, words(20) + shared[:450] + words(30)), (2, "x" * 900), (3, None), (4, ""), (5, words(200)), (6, "y" * 400), (7, shared[:399])]
-    rows += [rows[5]]
+    rows += [rows[5], *((20 + k, words(8) + shared[40 : 439 + k] + words(8)) for k in range(3))]  # just under, just at and above 400
+    hot = words(90)
+    rows += [(30 + k, words(k % 5) + hot[: 420 + k] + words(3)) for k in range(40)] + [(80 + k, hot) for k in range(20)]
+    rows += [(100, "\u00e9" * 300 + words(50)), (101, "\u00e9" * 250)]
     counts = collections.Counter(b[i : i + 400] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - 399))
     want = []
     for k, t in rows:
@@ -90,8 +93,8 @@ def test_suffix_runs(spark):
                 gone[i : i + 400] = True
         spans = int((np.diff(np.concatenate(([0], gone.astype(int), [0]))) == 1).sum())
         want.append((k, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for sub in (4096, 1):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for sub in (4096, 7, 1):
         got = [tuple(r) for r in suffixes.remove(df, sub=sub).drop("kept", "spans").collect()]
         assert sorted(got) == sorted(want)
 
