@@ -1,59 +1,109 @@
-"""Operator 10, line dedup: repeated runs of lines are found by prefix doubling and later copies are deleted.
+"""Operator 10, line dedup: a suffix array over the documents' line sequences, by distributed prefix doubling.
 
-A text is the sequence of its lines with a word (split at \\n, compared as they are). Prefix doubling names the runs of
-1, 2, 4, ... lines that start at each line by hashing the two names of half the length, and the run of ``min_lines`` lines
-by two overlapping names, so names need no shuffle. Lines of ``min_words`` words or more are runs too. Suffixes with the
-same name are the interval of the suffix array with a common prefix of that many lines; one partial aggregation over
-all documents finds each interval's size and its first suffix by (key, line). The lines of every later suffix's run
-go; neighbouring runs make up the maximal repeated runs. Lines without words stay, and so does each first copy.
+A text is the sequence of its lines with a word (split at \\n, compared as they are); a suffix starts at each line.
+
+1. Ranks. Suffixes are first ranked by their first ``min_lines`` lines: the 128-bit digests of these lines are counted, those
+   that occur at two places are sorted by range over the cluster, and the place in this order is the rank.
+2. Doubling. The rank by twice as many lines is that of the pair (rank at the line, rank as many lines further on), again by
+   counting and sorting the distinct pairs. A suffix whose lines so far occur nowhere else shares no longer run with any
+   other and leaves the array, so each round sorts only what still repeats, until all ranks are unique.
+3. Intervals. Suffixes of one rank are an interval of the suffix array whose longest common prefix has at least as many lines
+   as the round compares. ``intervals`` gives each with its first member, by (key, line), and its size. A maximal run of n
+   lines is one interval, or two that overlap, of the largest round of n lines or less.
+4. Every member but the first loses the interval's lines; neighbouring intervals make up the maximal repeated runs. Single lines
+   of ``min_words`` words or more are intervals too. Lines without words stay, and so does each first copy.
 
 A line that a third of all documents have is one row after the partial aggregation, and the join back to its places
-is an equi join that adaptive execution splits. Null and empty texts have no lines and stay as they are (null stays
-null). Rows that share key and text are one document: neither loses lines for the other. Ties do not occur otherwise.
-An empty table gives an empty result. Other columns of the input are kept by ``dedup``.
+is an equi join (broadcast if few intervals are left) that adaptive execution splits. Null and empty texts have no lines and
+stay as they are (null stays null). Rows that share key and text are one document: neither loses lines for the
+other. Ties do not occur otherwise. Very long texts are sequences like others. An empty table gives an empty result. Other columns of the input are
+kept by ``dedup``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumaspan.llm.common import GAP_CHARS, GAPS, documents, whole
+from lumaspan.llm.common import GAP_CHARS, documents, small, stored
 
 MIN_LINES = 2
 MIN_WORDS = 50
-
-
-def run_names(ids: Column, lines: int) -> Column:
-    """The name of the run of so many lines from each line on; null where fewer are left."""
-    n = F.size(ids)
-    pair = lambda names, by, depth: F.zip_with(
-        names, F.slice(names, F.lit(1 + by), n), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(F.lit(depth), a, b)))
-    names, h = ids, 1
-    while 2 * h <= lines:
-        names, h = pair(names, h, 2 * h), 2 * h
-    return pair(names, lines - h, lines) if h < lines else names
-
-
-def occurrences(docs: DataFrame, key: str, text: str, min_lines: int, min_words: int) -> DataFrame:
-    """A row per run: _key, _h (of the text), _name, _at (index among the lines with words), _n (lines)."""
-    has_word = lambda x: F.translate(x, GAP_CHARS, "") != ""
-    lines = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_h"), F.filter(F.split(whole(F.col(text)), "\n", -1), has_word).alias("_l"))
-    lines = lines.select(
-        "_key", "_h", F.transform("_l", lambda x: F.xxhash64(x)).alias("_ids"),
-        F.transform("_l", lambda x: F.when(F.size(F.filter(F.split(x, GAPS, -1), lambda w: w != "")) >= min_words, F.xxhash64(F.lit(1), x))).alias("_long"))
-    as_runs = lambda names, n: F.transform(names, lambda x, i: F.struct(x.alias("name"), i.alias("at"), F.lit(n).alias("n")))
-    runs = F.concat(as_runs(run_names(F.col("_ids"), min_lines), min_lines), as_runs(F.col("_long"), 1))
-    return lines.select("_key", "_h", F.explode(F.filter(runs, lambda r: r["name"].isNotNull())).alias("_r")).select(
-        "_key", "_h", F.col("_r.name").alias("_name"), F.col("_r.at").alias("_at"), F.col("_r.n").alias("_n"))
+CHUNK = 100_000  # rows that a task returns at once
+
+PLACE = ["_key", "_h", "_at"]
+
+
+def first_ranks(docs: DataFrame, key: str, text: str, min_lines: int, min_words: int) -> DataFrame:
+    """A row per run: _key, _h (hash of the text), _at (index among the lines with words), _n (lines), _name (digest of its lines)."""
+
+    def run(batches):
+        for batch in batches:
+            own, ats, ns, names = [], [], [], []
+
+            def rows():
+                at = pa.array(own, pa.int64())
+                return pa.RecordBatch.from_arrays(
+                    [batch.column("_key").take(at), batch.column("_h").take(at), pa.array(ats, pa.int32()), pa.array(ns, pa.int32()), pa.array(names, pa.binary())],
+                    [*PLACE, "_n", "_name"])
+
+            def add(i, at, n, lines):
+                own.append(i)
+                ats.append(at)
+                ns.append(n)
+                names.append(hashlib.blake2b(lines, digest_size=16).digest())
+
+            for i, t in enumerate(batch.column("_text").cast(pa.binary()).to_pylist()):
+                lines = [x for x in (t or b"").split(b"\n") if x and not x.isspace()]
+                for at in range(len(lines) - min_lines + 1):
+                    add(i, at, min_lines, b"\n".join(lines[at : at + min_lines]))
+                for at, x in enumerate(lines):
+                    if len(x) >= 2 * min_words - 1 and len(x.split()) >= min_words:
+                        add(i, at, 1, x)
+                if len(own) >= CHUNK:
+                    yield rows()
+                    own, ats, ns, names = [], [], [], []
+            yield rows()
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
+    return rows.mapInArrow(run, f"_key {kind}, _h long, _at int, _n int, _name binary")
+
+
+def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The values of ``by`` that stand at two places or more, in order: ``by``, _first (a place), _copies and _new, which grows with the order."""
+    me = F.struct(*PLACE)
+    found = rows.groupBy(*by).agg(F.min(me).alias("_first"), F.max(me).alias("_last"), F.count("*").alias("_copies")).where(F.col("_first") != F.col("_last"))
+    return stored(found.select(*by, "_first", "_copies").orderBy(*by).withColumn("_new", F.monotonically_increasing_id()))
+
+
+def intervals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row per suffix and round in which it shares its lines: _key, _h, _at, _n (lines), _rank, _first (the interval's first place), _copies."""
+    runs = stored(first_ranks(docs, key, text, min_lines, min_words))
+    ranks = ranked(runs, ["_n", "_name"])
+    out = [stored(runs.join(small(ranks), ["_n", "_name"]).select(*PLACE, "_n", F.col("_new").alias("_rank"), "_first", "_copies").dropDuplicates([*PLACE, "_n"]))]
+    lines, held = min_lines, out[0].where(F.col("_n") == min_lines)
+    while True:
+        further = Window.partitionBy("_key", "_h").orderBy("_at").rangeBetween(lines, lines)
+        pairs = stored(held.select(*PLACE, "_rank", F.max("_rank").over(further).alias("_next")).where("_next is not null"))
+        ranks = ranked(pairs, ["_rank", "_next"])
+        if ranks.isEmpty():
+            break
+        lines *= 2
+        held = stored(pairs.join(small(ranks), ["_rank", "_next"]).select(*PLACE, F.lit(lines).alias("_n"), F.col("_new").alias("_rank"), "_first", "_copies"))
+        out.append(held)
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document that loses lines: _key, _h, _gone (indices among its lines with words)."""
-    runs = occurrences(docs, key, text, min_lines, min_words)
-    me = F.struct("_key", "_h", "_at")
-    again = runs.groupBy("_name").agg(F.min(me).alias("_first"), F.max(me).alias("_last")).where(F.col("_first") != F.col("_last"))
-    later = runs.join(again.select("_name", "_first"), "_name").where(me != F.col("_first"))
+    later = intervals(docs, key, text, min_lines, min_words).where(F.struct(*PLACE) != F.col("_first"))
     return later.groupBy("_key", "_h").agg(F.collect_set(F.struct("_at", "_n")).alias("_runs")).select(
         "_key", "_h", F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["_at"], r["_at"] + r["_n"] - 1)))).alias("_gone"))
 
