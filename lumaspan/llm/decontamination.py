@@ -1,12 +1,17 @@
 """Operator 7, benchmark decontamination by SimHash windows, multi-index Hamming blocks and exact verification.
 
 Words are runs of letters and digits (characters beyond ASCII are letters), lower-cased. A text's features are its
-shingles of ``shingle`` words with their counts (a shorter text is one shingle). For each benchmark item the windows of a
-document with as many words as the item (the whole document if it is shorter) get a 64-bit SimHash of their weighted
-shingles. Fingerprints are cut into ``radius`` + 1 blocks: any two within ``radius`` bits agree in a block, so the
-blocks' tables find every item within the radius. The candidates are verified by the exact weighted Jaccard similarity
-(sum of smaller by sum of larger counts) of ``similarity`` or more. A similarity above 0 needs a common shingle, so only
-windows around shingles that the benchmark has are fingerprinted, which loses none.
+shingles of ``shingle`` words with their counts (a shorter text is one shingle). For each length of benchmark items, in
+words, the windows of a document with as many words (the whole document if it is shorter) get a 64-bit SimHash of their
+weighted shingles. Fingerprints are cut into ``radius`` + 1 blocks: any two within ``radius`` bits agree in a block, so the
+blocks' tables give, as candidates, every item of that length within the radius. They are verified by the exact weighted
+Jaccard similarity (sum of smaller by sum of larger counts) of ``similarity`` or more.
+
+Windows that cannot reach that similarity with any item at all are not fingerprinted: a and b shingles need
+similarity / (1 + similarity) * (a + b) in common, and a window has at most as many in common with an item as it has
+shingles that occur anywhere in the benchmark. This bound loses none. SimHash itself may: a window of similarity 0.8 is
+27 degrees from its item, 10 bits of 64 on average, and is missed if it is more than ``radius`` away. Items of fewer words than a
+shingle are found in documents as short.
 
 Items are sent to the executors in blocks of at most ``block_bytes`` of text, one pass over the documents for each block,
 so that what a task holds does not grow with the benchmark. Documents are never shuffled.
@@ -17,6 +22,7 @@ between windows go to the first. Empty tables give an empty result. Other column
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -32,6 +38,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
 BLOCK_BYTES = 8 << 20
+STRETCH = 1 << 14  # windows that are fingerprinted at once
 
 
 def bit_signs(shingles: np.ndarray) -> np.ndarray:
@@ -59,36 +66,31 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
 
 
 class Index:
-    """Items by shingle and, by their number of words, by the blocks of their fingerprints."""
+    """Items by their number of words and by the blocks of their fingerprints, and the shingles of all of them."""
 
     def __init__(self, items: list[tuple[int, str]], shingle: int, radius: int):
         texts = pa.array([t for _, t in items], pa.large_string())
         data, at = text_bytes(pc.utf8_lower(texts))
-        self.ids, self.words, self.counts, self.prints = [], [], [], []
-        pairs = []
+        self.ids, self.counts, self.prints, every = [], [], [], []
+        edges = np.linspace(0, 64, radius + 2).astype(int)
+        self.blocks = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        self.tables: dict[int, list[dict[int, list[int]]]] = {}  # number of words -> for each block, its bits -> items
         fold, is_word = ascii_fold(), letter_words()
         for k, (item, _) in enumerate(items):
             w = Words(data, at, k, k + 1, fold, is_word).hash
             s = shingles_of(w, shingle)
             if not len(s):
                 continue
-            n = len(self.ids)
+            n, f = len(self.ids), int(fingerprints(bit_signs(s).sum(axis=0, keepdims=True))[0])
             self.ids.append(item)
-            self.words.append(len(w))
             self.counts.append(Counter(s.tolist()))
-            self.prints.append(int(fingerprints(bit_signs(s).sum(axis=0, keepdims=True))[0]))
-            pairs += [(x, n) for x in set(s.tolist())]
-        pairs.sort()
-        self.shingles = np.array([x for x, _ in pairs], np.uint64)
-        self.items = np.array([n for _, n in pairs], np.int64)
+            self.prints.append(f)
+            every.append(s)
+            for tab, (sh, mask) in zip(self.tables.setdefault(len(w), [{} for _ in self.blocks]), self.blocks, strict=True):
+                tab.setdefault((f >> sh) & mask, []).append(n)
+        self.shingles = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.shingles >> np.uint64(44)).astype(np.int64)] = True
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        self.by_block: list[dict] = [{} for _ in self.blocks]  # (number of words, bits of the block) -> items
-        for n, f in enumerate(self.prints):
-            for tab, (sh, mask) in zip(self.by_block, self.blocks, strict=True):
-                tab.setdefault((self.words[n], (f >> sh) & mask), set()).add(n)
 
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         """Where the benchmark has the shingle."""
@@ -96,40 +98,48 @@ class Index:
         k = np.minimum(np.searchsorted(self.shingles, shingles[at]), max(0, len(self.shingles) - 1))
         return at[self.shingles[k] == shingles[at]] if len(self.shingles) else at[:0]
 
+    def candidates(self, words: int, fingerprint: int, radius: int) -> dict[int, int]:
+        """The items of so many words within the radius, with their distance, by the blocks' tables."""
+        found = {}
+        for tab, (sh, mask) in zip(self.tables[words], self.blocks, strict=True):
+            for n in tab.get((fingerprint >> sh) & mask, ()):
+                if n not in found:
+                    found[n] = (fingerprint ^ self.prints[n]).bit_count()
+        return {n: bits for n, bits in found.items() if bits <= radius}
+
+
+def window_prints(shingles: np.ndarray, starts: np.ndarray, width: int):
+    """(start, fingerprint) of the windows of ``width`` shingles from each start on, a stretch of neighbouring windows at a time."""
+    cut = np.flatnonzero((np.diff(starts) > width) | (np.diff(starts // STRETCH) > 0)) + 1
+    for own in np.split(starts, cut):
+        base, stop = own[0], own[-1] + width
+        sums = np.zeros((stop - base + 1, 64), np.int32)
+        np.cumsum(bit_signs(shingles[base:stop]), axis=0, out=sums[1:])
+        yield from zip(own.tolist(), fingerprints(sums[own - base + width] - sums[own - base]).tolist(), strict=True)
+
 
 def search(words: np.ndarray, index: Index, hits: np.ndarray, shingles: np.ndarray, k: int, similarity: float, radius: int):
     """Matches (item, window start, similarity, bits) of one document. hits: places of shingles that the benchmark has."""
-    found = []
-    lo, hi = np.searchsorted(index.shingles, shingles[hits]), np.searchsorted(index.shingles, shingles[hits], "right")
-    by_item: dict[int, list[int]] = {}
-    for p, a, b in zip(hits.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        for n in index.items[a:b].tolist():
-            by_item.setdefault(n, []).append(p)
-    for n, places in by_item.items():
-        m = min(index.words[n], len(words))
-        width = max(1, m - k + 1)  # shingles of a window
-        last = len(shingles) - width
-        starts = sorted({s for p in places for s in range(max(0, p - width + 1), min(p, last) + 1)})
-        if not starts:
+    best: dict[int, tuple] = {}
+    upto = np.zeros(len(shingles) + 1, np.int64)
+    upto[hits + 1] = 1
+    upto = np.cumsum(upto)
+    for length in index.tables:
+        if length < k <= len(words):
             continue
-        starts = np.array(starts)
-        base = starts[0]
-        sums = np.zeros((starts[-1] + width - base + 1, 64), np.int32)
-        np.cumsum(bit_signs(shingles[base : starts[-1] + width]), axis=0, out=sums[1:])
-        prints = fingerprints(sums[starts - base + width] - sums[starts - base])
-        best = None
-        for s, f in zip(starts.tolist(), prints.tolist(), strict=True):
-            if not any(n in tab.get((index.words[n], (f >> sh) & mask), ()) for tab, (sh, mask) in zip(index.by_block, index.blocks, strict=True)):
-                continue
-            bits = (f ^ index.prints[n]).bit_count()
-            if bits > radius:
-                continue
-            sim = weighted_jaccard(index.counts[n], Counter(shingles[s : s + width].tolist()))
-            if sim >= similarity and (best is None or sim > best[1]):
-                best = (s, sim, bits)
-        if best:
-            found.append((index.ids[n], *best))
-    return sorted(found)
+        width = max(1, min(length, len(words)) - k + 1)  # shingles of a window
+        need = math.ceil(similarity / (1 + similarity) * (width + max(1, length - k + 1)) - 1e-9)
+        if upto[-1] < need:
+            continue
+        starts = np.flatnonzero(upto[width:] - upto[:-width] >= need)
+        for s, f in window_prints(shingles, starts, width) if len(starts) else ():
+            found = index.candidates(length, f, radius)
+            window = Counter(shingles[s : s + width].tolist()) if found else None
+            for n, bits in found.items():
+                sim = weighted_jaccard(index.counts[n], window)
+                if sim >= similarity and (n not in best or sim > best[n][2]):
+                    best[n] = (index.ids[n], s, sim, bits)
+    return sorted(best.values())
 
 
 def _matches(batch, text: str, index: Index, k: int, similarity: float, radius: int):

@@ -155,6 +155,38 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontamination.clean(docs, bench, block_bytes=10).collect()) == [1, 2, 3, 6]
 
 
+def test_decontamination_recall_against_all_windows(spark):
+    gen = random.Random(3)
+    items = [(i, " ".join(gen.choice(WORDS) for _ in range(gen.choice([9, 15, 30, 31, 60])))) for i in range(40)]
+    rows = []
+    for d in range(200):
+        t = items[gen.randrange(40)][1].split()
+        for _ in range(gen.randrange(3)):
+            t[gen.randrange(len(t))] = gen.choice(WORDS)
+        rows.append((d, " ".join([*(gen.choice(WORDS) for _ in range(gen.randrange(30))), *t, *(gen.choice(WORDS) for _ in range(gen.randrange(30)))])))
+    grams = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = set()
+    for d, t in rows:
+        w = t.split()
+        for i, x in items:
+            own = grams(x.split())
+            m = min(len(x.split()), len(w))
+            for s in range(len(w) - m + 1):
+                win = grams(w[s : s + m])
+                both = sum((own & win).values())
+                if both >= 0.8 * sum((own | win).values()):
+                    want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(want) > 60 and len(got) >= 0.97 * len(want)
+    # the tables alone give every item within the radius
+    index = decontamination.Index(items, 5, 20)
+    for f in [gen.getrandbits(64) for _ in range(50)] + [p ^ (1 << 5) ^ (1 << 40) for p in index.prints]:
+        for length, tabs in index.tables.items():
+            own = {n for tab in tabs for held in tab.values() for n in held}
+            assert index.candidates(length, f, 20) == {n: (f ^ index.prints[n]).bit_count() for n in own if (f ^ index.prints[n]).bit_count() <= 20}
+
+
 def test_quality_counts(docs, empty):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     for k, t, *_ in corpus():
