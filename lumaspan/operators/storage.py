@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where none is set, a folder of our own (local runs)."""
+    """The folder of ``spark.checkpoint.dir``. Where none is set, a folder of our own on a local master; on a cluster, whose
+    executors would not see it, an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return found or f"file:///tmp/lumaspan-{spark.sparkContext.applicationId}"
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:///tmp/lumaspan-{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Writes a frame and reads it again. Unlike a checkpointed frame, the result brings no constraints
-    of its history, which grow with every turn of a loop until the optimizer no longer ends."""
+    """Writes a frame and reads it again: cuts lineage, survives lost executors. Unlike a checkpointed frame, the result brings
+    no constraints of its history, which grow with every turn of a loop until the optimizer no longer ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lumaspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
