@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumaspan.operators.storage import scratch_dir, stored  # noqa: F401
 from lumaspan.tables import table
 
 #: Words are runs of characters outside the space and the controls 9 to 13.
@@ -17,31 +15,6 @@ GAP_CHARS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 50_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is set, a folder of our own (local runs)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    return f"file:///tmp/lumaspan-{spark.sparkContext.applicationId}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared folder and reads it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lumaspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session has ended
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Marks a side for broadcast if it has few rows (counted, unless the count is given); else it is left to a shuffle."""
     n = df.count() if rows is None else rows

@@ -6,7 +6,9 @@ level 1 wrongly accepts, level 3 the listed keys that level 2 wrongly accepts, a
 of that universe membership is then exact, and each url is judged in place: its key candidates (each parent domain of
 its host with each prefix of its path as long as some rule's path) are tested from the longest to the shortest, with no
 join. The filters' bits are literals of the plan; their size is set by the number of listed keys and of false
-positives, and checked against ``max_bytes``; beyond it ``judge`` falls back to an equi join of keys and rules.
+positives. A list whose filter would be larger than ``max_bytes`` is split by the keys' hash into parts with a cascade each,
+and the urls are judged in one pass for each part, so neither a plan nor a task ever holds more than a part. Rules are a
+sequence or a table with the columns action, host and path; actions and the lengths of their paths are few.
 
 Null urls and urls without ``://`` have an empty host and path and match no rule. Repeated rows are judged each; an
 empty table gives an empty result. A url that no rule fits gets ``default``. Ties in length go to the longer host.
@@ -14,6 +16,7 @@ empty table gives an empty result. A url that no rule fits gets ``default``. Tie
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,24 +58,34 @@ def key_candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.when(host != "", F.transform(F.array_sort(both), lambda x: x.key)).otherwise(F.array().cast("array<string>"))
 
 
+PART_SEED = 77
+
+
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(PART_SEED)), F.lit(parts))
+
+
 def _bits(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level * 1000 + j)), F.lit(bits)) for j in range(hashes)]
 
 
+def filter_bits(count: int, rate: float) -> tuple[int, int]:
+    """Hash functions and bits of a filter of so many keys."""
+    hashes = max(1, round(-math.log2(rate)))
+    return hashes, 64 * max(1, math.ceil(count * hashes / math.log(2) / 64))
+
+
 class Filter:
     """A Bloom filter as an array of 64-bit words held in a literal."""
 
-    def __init__(self, keys: DataFrame, count: int, level: int, rate: float, max_bytes: int):
+    def __init__(self, keys: DataFrame, count: int, level: int, rate: float):
         self.level, self.count = level, count
-        self.hashes = max(1, round(-math.log2(rate)))
-        self.bits = 64 * max(1, math.ceil(count * self.hashes / math.log(2) / 64))
-        if self.bits // 8 > max_bytes:
-            raise TooLarge(self.bits // 8)
+        self.hashes, self.bits = filter_bits(count, rate)
         at = keys.select(F.explode(F.array(*_bits(F.col("key"), level, self.hashes, self.bits))).alias("b"))
         word = at.groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(
             F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int"))).alias("v")
         )
-        words = dict(word.collect())  # at most bits / 64 rows, checked above
+        words = dict(word.collect())  # bits / 64 rows at most, bounded by the number of parts
         self.words = [words.get(i, 0) for i in range(self.bits // 64)]
 
     def has(self, key: Column) -> Column:
@@ -89,26 +102,30 @@ def _literal(words: list[int]) -> Column:
     return F.from_json(F.lit(str(words)), "array<bigint>")
 
 
-class TooLarge(ValueError):
-    """A filter would be larger than allowed."""
-
-
 class Cascade:
-    """Exact membership of ``listed`` among the keys of ``universe`` (a frame with a column ``key``)."""
-
-    def __init__(self, listed: DataFrame, universe: DataFrame, rate: float = RATE, max_bytes: int = MAX_BYTES):
-        self.levels: list[Filter] = []
-        inside, outside = listed.select("key").distinct(), None
-        count = inside.count()
-        while count:
-            level = Filter(inside, count, len(self.levels), rate, max_bytes)
+    """Exact membership of ``listed`` among the keys of ``universe`` (frames with a column ``key``).
+
+    Only the first level looks at the universe. Where several cascades share one, ``near`` gives what level 1 lets through."""
+
+    def __init__(self, listed: DataFrame, universe: DataFrame, rate: float = RATE):
+        self.rate, self.listed = rate, listed.select("key").distinct()
+        self.count = self.listed.count()
+        self.levels = [Filter(self.listed, self.count, 0, rate)] if self.count else []
+        if universe is not None:
+            self.finish(stored(universe.where(self.has_first(F.col("key"))).select("key").distinct()))
+
+    def has_first(self, key: Column) -> Column:
+        return self.levels[0].has(key) if self.levels else F.lit(False)
+
+    def finish(self, near: DataFrame) -> None:
+        """near: the keys of the universe, or more, that level 1 lets through."""
+        if not self.levels:
+            return
+        inside, outside = stored(near.where(self.has_first(F.col("key"))).join(self.listed, "key", "left_anti")), self.listed
+        while count := inside.count():
+            level = Filter(inside, count, len(self.levels), self.rate)
             self.levels.append(level)
-            if outside is None:  # false positives of level 1: few keys of the whole universe get this far
-                outside = stored(universe.where(level.has(F.col("key"))).select("key").distinct()
-                                 .join(inside, "key", "left_anti"))
-            else:
-                outside = stored(outside.where(level.has(F.col("key"))))
-            inside, outside, count = outside, inside, outside.count()
+            inside, outside = stored(outside.where(level.has(F.col("key")))), inside
 
     def has(self, key: Column) -> Column:
         """Odd levels hold listed keys, even levels keys that are not: the first level to reject decides."""
@@ -118,46 +135,49 @@ class Cascade:
         return out
 
 
+def rule_table(spark: SparkSession, rules) -> DataFrame:
+    """action, key, n (length of the path) of rules given as a sequence or a table."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([tuple(r) for r in rules], "action string, host string, path string")
+    return rules.select("action", F.concat("host", "path").alias("key"), F.length("path").alias("n"))
+
+
 def judge(df: DataFrame, rules=RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",), default: str = "allow",
           rate: float = RATE, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Per row: ``keep``, host, path, rule (the key of the longest fitting rule, or null), verdict."""
-    spark = df.sparkSession
-    lengths = sorted({len(p) for _, _, p in rules})
+    rules = rule_table(df.sparkSession, rules)
+    sizes = {r[0]: r[1] for r in rules.groupBy("action").agg(F.count_distinct("key")).collect()}
+    lengths = sorted(r[0] for r in rules.select("n").distinct().collect())
+    actions = sorted(sizes)
     host, path = host_path(F.col(url))
     urls = df.select(*(F.col(k) for k in keep), host.alias("_u_host"), path.alias("_u_path"))
     urls = urls.withColumn("_u_keys", key_candidates(F.col("_u_host"), F.col("_u_path"), lengths))
-    actions = sorted({a for a, _, _ in rules})
-    listed = {a: spark.range(1).select(F.explode(F.array(*(F.lit(h + p) for x, h, p in rules if x == a))).alias("key")) for a in actions}
     universe = urls.select(F.explode("_u_keys").alias("key"))
-    out = [*keep, F.col("_u_host").alias("host"), F.col("_u_path").alias("path")]
-    try:
-        cascades = {a: Cascade(listed[a], universe, rate, max_bytes) for a in actions}
-    except TooLarge:
-        return _joined(urls, listed, keep, default)
-
-    def action(key: Column) -> Column:
-        col = F.lit(None).cast("string")
-        for a in actions:
-            col = F.when(cascades[a].has(key), F.lit(a)).otherwise(col)
-        return col
-
-    found = F.transform("_u_keys", lambda k: F.struct(k.alias("key"), action(k).alias("action")))
-    urls = urls.withColumn("_u_hit", F.get(F.filter(found, lambda x: x.action.isNotNull()), F.lit(0)))
-    return urls.select(*out, F.col("_u_hit.key").alias("rule"), F.coalesce("_u_hit.action", F.lit(default)).alias("verdict"))
-
-
-def _joined(urls: DataFrame, listed: dict[str, DataFrame], keep, default: str) -> DataFrame:
-    """For lists whose filters are too large for a literal: keys meet the rules in an equi join on distinct urls."""
-    rules = None
-    for a, keys in listed.items():
-        part = keys.select("key", F.lit(a).alias("action"))
-        rules = part if rules is None else rules.unionByName(part)
-    same = urls.select("_u_host", "_u_path", "_u_keys").distinct()
-    hits = same.select("_u_host", "_u_path", F.posexplode("_u_keys").alias("o", "key")).join(rules, "key")
-    best = hits.groupBy("_u_host", "_u_path").agg(F.min_by(F.struct("key", "action"), F.struct("o", "action")).alias("_u_hit"))
-    return urls.join(best, ["_u_host", "_u_path"], "left").select(
-        *keep, F.col("_u_host").alias("host"), F.col("_u_path").alias("path"),
-        F.col("_u_hit.key").alias("rule"), F.coalesce("_u_hit.action", F.lit(default)).alias("verdict"))
+    parts = max([1, *(math.ceil(filter_bits(n, rate)[1] / 8 / max_bytes) for n in sizes.values())])
+    own = lambda frame, p: frame if parts == 1 else frame.where(part_of(F.col("key"), parts) == p)
+    none = F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("action"))
+    urls = urls.withColumn("_u_hit", none)
+    for p in range(parts):
+        cascades = {a: Cascade(own(rules.where(F.col("action") == a), p), None, rate) for a in actions}
+        if any(c.levels for c in cascades.values()):
+            first = functools.reduce(lambda x, c: x | c.has_first(F.col("key")), cascades.values(), F.lit(False))
+            near = stored(own(universe, p).where(first).select("key").distinct())  # one pass over the universe for all actions
+            for c in cascades.values():
+                c.finish(near)
+
+        def action(key: Column, p=p, cascades=cascades) -> Column:
+            col = F.lit(None).cast("string")
+            for a in actions:
+                col = F.when(cascades[a].has(key), F.lit(a)).otherwise(col)
+            return col if parts == 1 else F.when(part_of(key, parts) == p, col)
+
+        found = F.transform("_u_keys", lambda k, i: F.struct(i.alias("at"), action(k).alias("action")))
+        hit = F.get(F.filter(found, lambda x: x.action.isNotNull()), F.lit(0))
+        urls = urls.withColumn("_u_hit", F.when(F.col("_u_hit.at").isNull() | (hit["at"] < F.col("_u_hit.at")), hit).otherwise(F.col("_u_hit")))
+        urls = urls if p == parts - 1 else stored(urls)
+    return urls.select(
+        *keep, F.col("_u_host").alias("host"), F.col("_u_path").alias("path"), F.get("_u_keys", F.col("_u_hit.at")).alias("rule"),
+        F.coalesce("_u_hit.action", F.lit(default)).alias("verdict"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,19 @@ def test_url_rules_and_cascade(spark):
     cascade = urls.Cascade(universe.where("key rlike '7$'"), universe, rate=0.3)
     assert len(cascade.levels) > 1
     assert universe.where(cascade.has(F.col("key")) != F.expr("key rlike '7$'")).count() == 0
+    # a list in many parts, given as a table, gives the same verdicts
+    df = spark.createDataFrame([(i, f"http://h{i % 50}.net/a{i % 7}/b") for i in range(300)], "page_id long, url string")
+    rules = [("block", f"h{i}.net", f"/a{i % 7}") for i in range(30)] + [("allow", f"h{i}.net", f"/a{i % 7}/b") for i in range(0, 30, 3)] + [("block", "net", "/a3")]
+    listed = spark.createDataFrame(rules, "action string, host string, path string")
+    keep = lambda d: sorted(map(tuple, d.collect()), key=lambda r: r[0])
+    whole = keep(urls.judge(df, rules))
+    best = {}
+    for i in range(300):
+        fits = [(len(h + p), h + p, a) for a, h, p in rules if f"h{i % 50}.net".endswith(h) and f"/a{i % 7}/b".startswith(p) and h in (f"h{i % 50}.net", "net")]
+        best[i] = max(fits)[1:] if fits else (None, "allow")
+    assert {r[0]: r[3:] for r in whole} == best
+    assert keep(urls.judge(df, listed, max_bytes=8)) == whole
+    assert {r[4] for r in keep(urls.judge(df, []))} == {"allow"}
 
 
 def test_html_blocks_and_held_out_pages():
