@@ -10,8 +10,9 @@ chosen node stands in a rejected one. The texts of the chosen nodes, block by bl
 The trees are fitted, in the driver and with a fixed seed, on ``TRAIN_PAGES`` pages that ``sample_page`` makes up with known
 labels; no page of the input takes part.
 
-Null, empty and tagless html: null and empty give an empty text, a page without tags its text. Very long pages are
-handled whole, by loops, not recursion. Repeated rows are extracted each; an empty table gives an empty result. Other
+Null, empty and tagless html: null and empty give an empty text, a page without tags its text. Very long and broken pages are
+handled whole, by loops whose time grows with the page's length: a < that no > follows is text, a quote without its match an
+ordinary character. Formulas, pictures' texts and fallback texts are text like other. Repeated rows are extracted each; an empty table gives an empty result. Other
 columns are ignored.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -28,18 +30,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumaspan.llm.common import pages
 
-TRAIN_PAGES = 260
-TREES, DEPTH, RATE, BINS = 30, 4, 0.4, 32
-HASHED = 64
+TRAIN_PAGES = 800
+TREES, DEPTH, RATE, BINS = 70, 4, 0.3, 32
+HASHED = 512
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 ATTR = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 RAW_END = {t: re.compile("</" + t, re.I | re.A) for t in RAW}
-SILENT = frozenset("head script style title template textarea select iframe object svg math canvas audio video".split())
+SILENT = frozenset("head script style title template textarea select iframe".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input "
+    "object canvas audio video svg g tspan math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics annotation".split()
 )
 CLOSED_BY_BLOCK = frozenset(["p"])
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -51,6 +55,45 @@ GROUPS = {t: k for k, names in enumerate((
 NUMERIC = 16
 
 
+class Tags:
+    """The tags of a page from left to right, in time linear in its length. A quote without its match is an ordinary character;
+    if the page ends inside quotes that swallow a tag's end, quotes count no more."""
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quotes = html, {c: html.rfind(c) for c in "\"'>"}, True
+
+    def end(self, pos: int) -> int:
+        """Where the tag ends whose attributes start here."""
+        at = pos
+        while self.quotes:
+            m = STOP.search(self.html, at)
+            if not m:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.end()
+            else:
+                at = self.html.find(m[0], m.end()) + 1 if m.start() < self.last[m[0]] else m.end()
+        return self.html.find(">", pos) + 1
+
+    def next(self, pos: int) -> tuple[int, int, str, bool, str] | None:
+        """Start, end, name, whether it is an end tag, attributes; comments and declarations have no name."""
+        html = self.html
+        while (at := html.find("<", pos)) >= 0:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(html), "", False, ""
+            if at > self.last[">"]:
+                return None
+            if html[at + 1] in "!?":
+                return at, html.find(">", at) + 1, "", False, ""
+            m = NAME.match(html, at + 1)
+            if m and m.end() <= self.last[">"]:
+                end = self.end(m.end())
+                return at, end, m[1].lower(), html[at + 1] == "/", html[m.end() : end - 1]
+            pos = at + 1
+        return None
+
+
 class Page:
     """Nodes of a page in document order: tag, parent, depth, tokens, own text; and its text pieces."""
 
@@ -59,76 +102,81 @@ class Page:
         self.size, self.links, self.at, self.end = [0], [0], [0], [len(html)]
         self.pieces: list[tuple[int, int, str]] = []  # (block number, node, text)
         stack, inline, block, silent, pos, n = [0], [], 0, 0, 0, len(html)
+        tags, opened, within = Tags(html), Counter(["html"]), Counter()  # open blocks and inline elements by name
+
+        def close(k: int, at: int) -> int:
+            """Closes the blocks from the k-th on; returns how many of them were silent."""
+            for x in stack[k:]:
+                self.end[x] = at
+                opened[self.tag[x]] -= 1
+            mute = sum(self.tag[x] in SILENT for x in stack[k:])
+            del stack[k:]
+            inline.clear()
+            within.clear()
+            return mute
+
         while pos < n:
-            m = TOKEN.search(html, pos)
-            stop = m.start() if m else n
-            if stop > pos and not silent:
-                self._text(html[pos:stop], stack[-1], block, "a" in inline)
-            if not m:
+            found = tags.next(pos)
+            start, after, name, ends, attrs = found or (n, n, "", False, "")
+            if start > pos and not silent:
+                self._text(html[pos:start], stack[-1], block, within["a"] > 0)
+            if not found:
                 break
-            pos = m.end()
-            name = m[2]
+            pos = after
             if not name:
                 continue
-            name = name.lower()
-            if m[1]:  # an end tag
+            if ends:
                 if name in INLINE:
-                    if name in inline:
-                        del inline[len(inline) - 1 - inline[::-1].index(name) :]
+                    while within[name]:  # what was opened after it ends as well
+                        within[inline[-1]] -= 1
+                        if inline.pop() == name:
+                            break
                     continue
-                k = next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name), 0)
                 block += 1
-                if k:
-                    inline.clear()
-                    for x in stack[k:]:
-                        self.end[x] = m.start()
-                        silent -= self.tag[x] in SILENT
-                    del stack[k:]
+                if opened[name] and (k := next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] == name), 0)):
+                    silent -= close(k, start)
                 continue
             if name in INLINE:
                 if name == "br":
                     if not silent:
                         self._text(" ", stack[-1], block, False)
-                elif name not in VOID and not m[3].endswith("/"):
+                elif name not in VOID and not attrs.endswith("/"):
                     inline.append(name)
+                    within[name] += 1
                 continue
             block += 1
             if name in VOID:
                 continue
-            if name in ("html", "body") and name in (self.tag[x] for x in stack):
+            if name in ("html", "body") and opened[name]:
                 continue
             closes = CLOSED_BY_BLOCK
             if name in SAME:
                 closes = SAME[name]
-            for k in range(len(stack) - 1, 0, -1):
+            k = len(stack) - 1
+            while k > 0 and (opened["p"] or any(opened[x] for x in closes)) and self.tag[stack[k]] not in SCOPE:
                 if self.tag[stack[k]] in closes or self.tag[stack[k]] == "p":
-                    for x in stack[k:]:
-                        self.end[x] = m.start()
-                        silent -= self.tag[x] in SILENT
-                    del stack[k:]
-                    inline.clear()
-                elif self.tag[stack[k]] in SCOPE:
-                    break
-            found = ATTR.findall(m[3])
-            tokens = tuple(t for a in found for t in re.split(r"[^a-z]+", a.lower()) if t) if found else ()
+                    silent -= close(k, start)
+                k -= 1
+            said = ATTR.findall(attrs)
+            tokens = tuple(t for a in said for t in re.split(r"[^a-z]+", a.lower()) if t) if said else ()
             self.tag.append(name)
             self.parent.append(stack[-1])
             self.depth.append(len(stack))
             self.tokens.append(tokens)
             self.size.append(0)
             self.links.append(0)
-            self.at.append(m.start())
+            self.at.append(start)
             self.end.append(n)
             if name in RAW:
-                found = RAW_END[name].search(html, pos)
-                close = found.start() if found else -1
-                pos = n if close < 0 else (html.find(">", close) + 1 or n)
-                if name not in SILENT:
-                    self._text(html[m.end() : close if close >= 0 else n], len(self.tag) - 1, block, False)
+                shut = RAW_END[name].search(html, pos)
+                pos = (html.find(">", shut.end()) + 1 or n) if shut else n
+                if name not in SILENT and not silent:
+                    self._text(html[after : shut.start() if shut else n], len(self.tag) - 1, block, False)
                 self.end[-1] = pos
                 block += 1
                 continue
             stack.append(len(self.tag) - 1)
+            opened[name] += 1
             silent += name in SILENT
 
     def _text(self, text: str, node: int, block: int, link: bool) -> None:
@@ -231,7 +279,9 @@ class Boosted:
         n, width = x.shape
         self.base = float(np.log(y.mean() / (1 - y.mean())))
         f = np.full(n, self.base)
-        flat = x.astype(np.int64) + np.arange(width) * BINS
+        flat = x[:, :NUMERIC].astype(np.int64) + np.arange(NUMERIC) * BINS
+        used = np.flatnonzero(x[:, NUMERIC:].any(axis=0))
+        flags, rows = x[:, NUMERIC + used].astype(np.float32), np.arange(n)
         self.trees = []
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-f))
@@ -240,11 +290,16 @@ class Boosted:
             node = np.zeros(n, np.int64)
             for level in range(DEPTH):
                 k = 1 << level
-                cell = (flat + (node * width * BINS)[:, None]).ravel()
-                gs, hs = (np.bincount(cell, np.repeat(w, width), k * width * BINS).reshape(k, width, BINS).cumsum(axis=2) for w in (g, h))
-                gt, ht = gs[:, :, -1:], hs[:, :, -1:]
-                gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)
-                gain[(hs < 1) | (ht - hs < 1)] = 0
+                cell, own = (flat + (node * NUMERIC * BINS)[:, None]).ravel(), np.zeros((k, n), np.float32)
+                gs, hs = (np.bincount(cell, np.repeat(w, NUMERIC), k * NUMERIC * BINS).reshape(k, NUMERIC, BINS).cumsum(axis=2) for w in (g, h))
+                gt, ht = gs[:, :1, -1:], hs[:, :1, -1:]
+                gains = []
+                for left_g, left_h in [(gs, hs), (gt - self._sums(own, node, rows, g, flags), ht - self._sums(own, node, rows, h, flags))]:
+                    gain = left_g**2 / (left_h + 1) + (gt - left_g) ** 2 / (ht - left_h + 1) - gt**2 / (ht + 1)
+                    gain[(left_h < 1) | (ht - left_h < 1)] = 0
+                    gains.append(gain)
+                gain = np.zeros((k, width, BINS))
+                gain[:, :NUMERIC], gain[:, NUMERIC + used, :1] = gains
                 best = gain.reshape(k, -1).argmax(axis=1)
                 for j in range(k):
                     if gain.reshape(k, -1)[j, best[j]] > 1e-6:
@@ -255,6 +310,12 @@ class Boosted:
             f += leaf[node]
             self.trees.append((feature, cut, leaf))
 
+    @staticmethod
+    def _sums(own: np.ndarray, node: np.ndarray, rows: np.ndarray, w: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """For each node, the sum of w over its rows that have the flag."""
+        own[node, rows] = w
+        return (own @ flags).astype(np.float64)[:, :, None]
+
     def odds(self, x: np.ndarray) -> np.ndarray:
         out, rows = np.full(len(x), self.base), np.arange(len(x))
         for feature, cut, leaf in self.trees:
@@ -266,13 +327,24 @@ class Boosted:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def made_up_words(count: int = 4000, seed: int = 5) -> list[str]:
+    rng = np.random.default_rng(seed)
+    return ["".join("aeiounrstlmdk"[k] for k in rng.integers(13, size=int(rng.integers(2, 9)))) for _ in range(count)]
+
+
 def sample_page(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
     """A made-up page and the spans of its html that are not main text."""
     pick = lambda *x: x[int(rng.integers(len(x)))]
-    word = lambda: "".join(rng.choice(list("aeiounrstlmdk"), int(rng.integers(2, 9))))
-    words = lambda a, b: " ".join(word() for _ in range(int(rng.integers(a, b))))
+    pool = made_up_words()
+    word = lambda: pool[int(rng.integers(len(pool)))]
+    words = lambda a, b: " ".join(pool[k] for k in rng.integers(len(pool), size=int(rng.integers(a, b))))
     para = lambda a=15, b=120: words(a, b).capitalize() + "."
     html, out = [], []
+    names = [word() for _ in range(6)]  # this site's own class names, which say nothing
+
+    def plain(p: float = 0.4) -> str:
+        return pick(f' class="{pick(*names)}"', f' id="{word()}"', f' class="{pick(*names)} {word()}"') if rng.random() < p else ""
 
     def add(text: str, main: bool = True) -> None:
         if not main:
@@ -282,7 +354,7 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
 
     def attr(*tokens: str) -> str:
         t = pick(*tokens)
-        t = pick(t, t, f"site-{t}", f"{t}-box", f"{t} wide", f"block {t}", f"{t}-inner")
+        t = pick(t, t, f"site-{t}", f"{t}-box", f"{t} {word()}", f"{pick(*names)} {t}", f"{t}-{word()}")
         return pick(f' class="{t}"', f' id="{t}"', f" class='{t}'")
 
     def links(k: int) -> str:
@@ -322,18 +394,20 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
     def content(k: int) -> None:
         for _ in range(k):
             add(pick(
-                f"<p>{para()}</p>", f"<p>{para()}</p>", f"<p>{para(2, 12)}</p>", f"<p>{para()}", f"<h2>{words(1, 8)}</h2>", f"<p>{para(8, 40)} <a href='/x'>{words(1, 5)}</a> {para(5, 30)}</p>",
+                f"<p{plain()}>{para()}</p>", f"<p>{para()}</p>", f"<p{plain()}>{para(2, 12)}</p>", f"<p{plain()}>{para()}", f"<h2{plain()}>{words(1, 8)}</h2>", f"<p>{para(8, 40)} <a href='/x'>{words(1, 5)}</a> {para(5, 30)}</p>",
                 "<ul>" + "".join(f"<li>{words(1, 25)}</li>" for _ in range(int(rng.integers(1, 7)))) + "</ul>", f"<blockquote><p>{para()}</p></blockquote>", f"<blockquote>{para()}</blockquote>", f"<pre>{words(3, 50)}</pre>",
-                "<table>" + "".join(f"<tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr>" for _ in range(int(rng.integers(1, 5)))) + "</table>", f"<figure><figcaption>{words(2, 20)}</figcaption></figure>", f"<section><h3>{words(1, 6)}</h3><p>{para()}</p></section>", f"<div>{para()}</div>", f"<div><p>{para()}</p><p>{para()}</p></div>", f"<h3>{words(1, 6)}</h3>"))
+                "<table>" + "".join(f"<tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr>" for _ in range(int(rng.integers(1, 5)))) + "</table>", f"<figure><figcaption>{words(2, 20)}</figcaption></figure>", f"<section{plain()}><h3>{words(1, 6)}</h3><p>{para()}</p></section>", f"<div{plain()}>{para()}</div>", f"<div{plain()}><p>{para()}</p><p>{para()}</p></div>", f"<section{plain()}><p>{para()}</p></section>", f"<div{plain()}><p>{para()}</p></div>", f"<div{plain()}><p{plain()}>{para()}</p></div>", f"<h3>{words(1, 6)}</h3>"))
             if rng.random() < 0.08:
                 add(junk(pick("ad", "share", "notice", "side", "form")), False)
 
-    add("<!DOCTYPE html><html><head><title>x</title></head><body>")
-    wrap = pick("", "", f"<div{attr('page', 'wrapper', 'container', 'layout', 'site')}>")
+    add(f"<!DOCTYPE html><html><head><title>x</title></head><body{plain()}>")
+    wrap = pick("", "", f"<div{attr('page', 'wrapper', 'container', 'layout', 'site')}>", f"<div{plain(1)}>")
+    inner = pick("", "", f"<div{plain(1)}>", f"<div{attr('row', 'columns', 'grid', 'outer', 'inner', 'wrap')}>")
     add(wrap)
     for _ in range(int(rng.integers(0, 5))):
         add(junk(pick("nav", "nav", "header", "ad", "notice", "form", "side", "share")), False)
-    open_, close = pick(("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), *((f"<{t}{attr('content', 'article', 'post', 'entry', 'main', 'story', 'text', 'body')}>", f"</{t}>") for t in ("div", "div", "article", "section")), ("<div>", "</div>"))
+    add(inner)
+    open_, close = pick((f"<article{plain()}>", "</article>"), (f"<article{plain()}>", "</article>"), (f"<article{attr('post', 'hentry', 'entry', 'content', 'story')}>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), *((f"<{t}{attr('content', 'article', 'post', 'entry', 'main', 'story', 'text', 'body')}>", f"</{t}>") for t in ("div", "div", "article", "section")), ("<div>", "</div>"))
     add(open_)
     if rng.random() < 0.75:
         add(f"<h1>{words(2, 12)}</h1>")
@@ -341,6 +415,10 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
     if rng.random() < 0.2:
         add(junk(pick("share", "comments", "side", "footer")), False)
     add(close)
+    if inner:
+        if rng.random() < 0.6:
+            add(junk(pick("side", "side", "ad", "nav", "comments")), False)
+        add("</div>")
     for _ in range(int(rng.integers(0, 5))):
         add(junk(pick("comments", "comments", "footer", "footer", "side", "ad", "notice", "form", "nav", "share")), False)
     add("</div>" if wrap else "")

@@ -174,8 +174,10 @@ def host_suffix(host: Column) -> Column:
     return F.nullif(F.when(F.instr(name, ".") > 0, F.substring_index(name, ".", -1)), F.lit(""))
 
 
-def identify_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
-    df = docs.select(F.col(key), F.col(text), primary_tag(F.col(declared)).alias("_declared"), F.lit(None).cast("string").alias("_suffix"), F.col(host).alias("_host"))
+def identify_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", declared: str | None = None, host: str = "source") -> DataFrame:
+    """declared: a column with what the record itself declares, if it is not the label that the model was fitted on."""
+    said = primary_tag(F.col(declared)) if declared else F.lit(None).cast("string")
+    df = docs.select(F.col(key), F.col(text), said.alias("_declared"), F.lit(None).cast("string").alias("_suffix"), F.col(host).alias("_host"))
     return fused(stored(text_scores(df, model, [key, "_declared", "_suffix", "_host"], text, False)), model.languages, [key])
 
 
@@ -187,7 +189,8 @@ def identify_pages(frame: DataFrame, model: Model, key: str = "page_id", html: s
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents (source as host, their lang as declared) and all pages: doc_id or page_id, lang, confidence, text_lang."""
+    """All documents (source as host; their lang is the label that the sample is fitted on, and no evidence) and all pages: doc_id or
+    page_id, lang, confidence, text_lang."""
     docs, web = documents(spark, sf_dir), pages(spark, sf_dir)
     model = fit(docs)
     if model is None:

@@ -11,7 +11,7 @@ Shards: the drawn blocks of all sources are split between output shards by a bin
 permutation sends an exact half of its blocks to either side, so that the numbers from each source are multivariate
 hypergeometric draws without replacement; a leaf's disjoint blocks are shuffled locally by the column ``_order``.
 
-Null and empty texts have size 0. Repeated rows with the same key and size are drawn together. An empty table gives an
+Null and empty texts have size 0. Repeated rows with the same key and size are drawn together, and fill a gap together or not. An empty table gives an
 empty result; sources without words have the target 0. Reruns agree (all draws hash the seed). Other columns are kept
 by ``mixed`` and ignored by ``plan``.
 """
@@ -106,8 +106,10 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     # what is still missing is filled by the one document left out that comes nearest
     gap = at_cut.groupBy("_source").agg(F.first(F.col("_over") - F.col("_before")).alias("_g"), F.sum(F.when(F.col("_in"), F.col("_size")).otherwise(0)).alias("_t"))
     gap = stored(gap.select(F.col("_source").alias("_s"), (F.col("_g") - F.col("_t")).alias("_gap")))
-    off = F.abs(F.col("_gap") - F.col("_size"))
-    best = rest.unionByName(at_cut).where(~F.col("_in")).join(small(gap, n), same).where(off < F.col("_gap")).groupBy("_s").agg(
+    off = F.abs(F.col("_gap") - F.col("_size") * F.col("_m"))
+    left = rest.unionByName(at_cut).where(~F.col("_in")).join(small(gap, n), same).where(F.col("_size") < 2 * F.col("_gap"))
+    left = left.groupBy("_s", "_gap", "_key", "_size", "_u").agg(F.count("*").alias("_m"))  # repeated rows are one choice
+    best = left.where(off < F.col("_gap")).groupBy("_s").agg(
         F.min_by(F.struct("_key", "_size", "_u"), F.struct(off, F.col("_u"), F.col("_key"))).alias("_best"))
     best = stored(best.withColumnRenamed("_s", "_s3"))
     chosen = F.col("_best").isNotNull() & F.struct("_key", "_size", "_u").eqNullSafe(F.col("_best"))

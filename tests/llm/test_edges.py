@@ -78,11 +78,11 @@ def test_language_of_held_out_texts_and_weak_evidence(spark):
     kind = "doc_id long, text string, lang string, source string"
     model = language.fit(spark.createDataFrame([make(k) for k in range(60)], kind))
     held = spark.createDataFrame([(k, t, None, None) for k, t, *_ in map(make, range(60, 120))], kind)
-    got = {r.doc_id: r for r in language.identify_documents(held, model).collect()}
+    got = {r.doc_id: r for r in language.identify_documents(held, model, declared="lang").collect()}
     assert all(got[k].lang == ["de", "en", "fr"][k % 3] and 0 < got[k].confidence <= 1 for k in got) and len(got) == 60
     # without text, what the host and the declaration say decides
     rows = [make(k) for k in range(60)] + [(200, None, "fr", "h2"), (201, "", None, "h1")]
-    got = {r.doc_id: r for r in language.identify_documents(spark.createDataFrame(rows, kind), model).collect()}
+    got = {r.doc_id: r for r in language.identify_documents(spark.createDataFrame(rows, kind), model, declared="lang").collect()}
     assert got[200].lang == "fr" and got[200].text_lang is None and got[201].lang == "en"
 
 
@@ -93,3 +93,34 @@ def test_text_after_unmatched_brackets_is_read():
     assert read(b"<!-- <b> x --><STYLE>a>b{}</style >one<br/>two <b three") == ["one", "two", "<b", "three"]
     assert read(b"<!-- open <p>one</p><script>two") == ["one", "two"]
     assert read(b"") == [] and read(b"<") == ["<"] and read(b"<!-->a") == ["a"]
+
+
+def test_language_evidence_against_plain_python(spark):
+    rows = [(k, sentence(["de", "en", "fr"][k % 3], rng.choice([0, 1, 1, 2, 30])), rng.choice(["de", "en", "fr-CA", None, "x"]), f"h{k % 5}" if k % 7 else None) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, said string, source string")
+    model = language.fit(spark.createDataFrame([(k, sentence(x, 40), x) for k, x in enumerate(["de", "en", "fr"] * 9)], "doc_id long, text string, lang string"))
+    names, n = model.languages, 3
+    ll = {r[0]: model.scores([np.frombuffer(r[1].encode(), np.uint8)], language.MAX_WEIGHT)[0] for r in rows}
+    best = {k: int(np.argmax(x)) if max(x) > min(x) else None for k, x in ll.items()}
+    tag = lambda d: {"fr-CA": "fr", "x": None}.get(d, d)
+
+    def counts(by):
+        out = {}
+        for k, _, d, h in rows:
+            c = out.setdefault(by(d, h), np.zeros(n))
+            if best[k] is not None:
+                c[best[k]] += 1
+        return out
+
+    smooth = lambda c, prior, pseudo: (c + pseudo * prior) / (c.sum() + pseudo)
+    pool = counts(lambda d, h: 0)[0] + 1
+    p0 = pool / pool.sum()
+    p1 = smooth(counts(lambda d, h: 0)[0], p0, language.PSEUDO_SUFFIX)
+    host = {h: np.log(smooth(c, p1, language.PSEUDO_HOST)) for h, c in counts(lambda d, h: h).items()}
+    says = {d: np.log(smooth(c, p0, language.PSEUDO_DECLARED) / p0) for d, c in counts(lambda d, h: tag(d)).items()}
+    got = {r.doc_id: r for r in language.identify_documents(df, model, declared="said").collect()}
+    for k, _, d, h in rows:
+        score = ll[k] + host[h] + says[tag(d)]
+        assert got[k].lang == names[int(np.argmax(score))]
+        assert abs(got[k].confidence - 1 / np.exp(score - score.max()).sum()) < 1e-5
+        assert got[k].text_lang == (None if best[k] is None else names[best[k]])

@@ -5,6 +5,7 @@ import functools
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -144,6 +145,37 @@ def test_html_end_tags_where_lower_case_is_longer():
     assert html.main_texts([page], html.trained()) == ["A\n\u0130stanbul one two"]
 
 
+def test_html_of_other_layouts():
+    """Pages whose parts are known, written otherwise than the pages that the trees are fitted on."""
+    gen, model = random.Random(6), html.trained()
+    w = lambda n: " ".join(gen.choice(WORDS) for _ in range(n))
+    right = total = 0
+    for k in range(40):
+        parts = [w(gen.randint(20, 90)) for _ in range(gen.randint(2, 6))]
+        body = "\n ".join(gen.choice([f"<p>{x}</p>", f"<P class=lead>{x}", f"<div><p>{x}</p></div>", f"<section><p>{x}</p></section>"]) for x in parts)
+        title = w(4)
+        page = (f"<!doctype html>\n<html lang=xx><head><meta charset=utf-8><title>{w(3)}</title><style>a>b{{}}</style></head><body class=home>"
+                f"<header><a href=/>{w(2)}</a></header><nav class=main-menu><ul>" + "".join(f"<li><a href=/{i}>{w(1)}</a></li>" for i in range(6)) + "</ul></nav>"
+                f"<div id=outer><article class='post hentry'><h1>{title}</h1>{body}</article><aside class=sidebar><h4>{w(2)}</h4><ul><li><a href=#>{w(3)}</a></li></ul></aside></div>"
+                f"<section id=comments class=comment-list><article class=comment><p>{w(20)}</p></article></section><script>if (a<b) x()</script><footer><p>&copy; {w(6)}</p></footer></body></html>")
+        got, want = html.main_texts([page], model)[0].split("\n"), [title, *parts]
+        assert got == [x for x in want if x in got]  # nothing else, in order
+        right, total = right + len(got), total + len(want)
+    assert right >= 0.97 * total
+
+
+def test_html_of_long_broken_pages_takes_linear_time():
+    import time
+
+    pages = ["<a " * 330_000, "<a \">\" " * 150_000, "<div>" * 40_000 + "</p>" * 40_000, "<a>" * 90_000 + "<b></b>x" * 50_000, "<blockquote>" * 40_000, "<!" * 200_000, "<x '" * 200_000 + ">"]
+    began = time.process_time()
+    for p in pages:
+        html.Page(p)
+    assert time.process_time() - began < 30  # seconds for seven pages of about a megabyte, where quadratic ones would take hours
+    model = html.trained()
+    assert html.main_texts(["<article><p>3 < 4, 'a' <b>b</b> <math><mi>x</mi><mo>=</mo><mn>2</mn></math> y<video>no film</video></article>", "<p>a <"], model) == ["3 < 4, 'a' b x=2 yno film", "a <"]
+
+
 def test_sharding(docs, empty):
     rows = sharding.assign(docs).collect()
     texts = {k: t for k, t, *_ in corpus()}
@@ -154,7 +186,17 @@ def test_sharding(docs, empty):
         assert r.size == len((texts[r.doc_id] or "").encode()) + 1
         slots[r.shard].append(r.slot)
         sizes[r.shard] += r.size
+        assert r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r.law == "bytes" and r.grown_shard is None
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    groups = collections.Counter()
+    for t in texts.values():
+        groups[t] += len((t or "").encode()) + 1
+    # the largest group stands alone at most; greedy by size, largest first, is the plain version that differencing must not lose to
+    greedy = [0] * 16
+    for n in sorted(groups.values(), reverse=True):
+        greedy[greedy.index(min(greedy))] += n
+    spread = lambda x: max(x) - min(x)
+    assert spread([sizes[k] for k in range(16)]) <= max(spread(greedy), max(groups.values()) - min(greedy))
     place, sums = sharding.differencing([(0, 0, w) for w in (8, 7, 6, 5, 4)])
     assert sorted(sums) == [8, 11, 11] or max(sums) - min(sums) <= 3
     assert sharding.assign(empty).count() == 0
@@ -223,12 +265,37 @@ def test_mixing_targets(docs, empty):
         s[1] += r._size * r._copies
         assert r._copies <= 3 and len(r._shards) == r._copies
     assert abs(sum(x[2] for x in by.values()) - sum(x[0] for x in by.values())) < 1e-6
+    # the targets are those of filling by steps: what exceeds a cap is dealt out again by weight until none does
+    names = sorted(by, key=lambda x: (x is None, x))
+    weight, total = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}, sum(x[0] for x in by.values())
+    goal = {s: total * weight[s] / sum(weight.values()) for s in names}
+    for _ in range(99):
+        over = sum(max(0, goal[s] - 3 * by[s][0]) for s in names)
+        open_ = [s for s in names if goal[s] < 3 * by[s][0]]
+        goal = {s: min(goal[s], 3 * by[s][0]) + (over * weight[s] / sum(weight[x] for x in open_) if s in open_ else 0) for s in names}
+    assert all(abs(goal[s] - by[s][2]) < 1e-3 for s in names)
     # what is missing at last is less than half the smallest document left
     assert all(x[2] <= 3 * x[0] and abs(x[1] - x[2]) <= x[3] / 2 + 1 for x in by.values())
     assert mixing.mixed(docs).count() == sum(r._copies for r in rows)
     assert mixing.plan(empty).count() == 0
 
 
+def test_mixing_fills_a_gap_with_repeated_rows_at_most_once(spark):
+    rows = [(k, words(10 + k % 3), "a") for k in range(40)] + [(99, words(7), "b")] * 9 + [(k, words(30), "b") for k in range(100, 110)]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source, goal in {r._source: r._target for r in got}.items():
+        taken = sum(r._size * r._copies for r in got if r._source == source)
+        assert abs(taken - goal) <= 9 * 7
+
+
+
+def test_shard_tree_splits_every_node_exactly(spark):
+    blocks = spark.createDataFrame([(s, p, b) for s in "abc" for p in range(2) for b in range(64)], "_source string, _pass int, _block int")
+    got = collections.Counter(r._shard for r in mixing.shard_tree(blocks).collect())
+    assert got == dict.fromkeys(range(16), 24)
+    assert mixing.shard_tree(blocks).exceptAll(mixing.shard_tree(blocks)).count() == 0
+
+
 def test_line_runs(spark):
     rows = [(0, "a\nb\nc"), (1, "x\na\nb"), (2, "a\n\nb\ny"), (3, None), (4, ""), (5, "b"), (6, "long " * 50), (7, "z\n" + "long " * 50)]
     got = {r.doc_id: (r._kept_text, r._n_removed) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
