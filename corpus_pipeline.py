@@ -22,13 +22,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that of the least doc_id. Documents without words and rows without an id stay;
-    rows that repeat a doc_id are one document."""
-    found = jaccard.join(docs, shingle=SHINGLE, percent=PERCENT, region=REGION)
-    gone = stored(found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= jaccard.ID_ROWS else gone
-    docs, named = shielded(docs, "doc_id")
-    return named(docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
+    """One document of each group of linked ones: that of the least doc_id, then text hash. Rows that repeat a doc_id with other texts
+    are documents of their own; of rows that repeat both, one stays. Documents without words stay, all of them."""
+    docs, named = shielded(docs, "doc_id", "text")
+    row = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    found = stored(jaccard.join(docs.select(row.alias("_row"), "text"), key="_row", shingle=SHINGLE, percent=PERCENT, region=REGION))
+    gone = stored(found.where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("_row"))).select(F.col("_row").alias("_gone")).distinct())
+    repeated = stored(found.where("n_shingles > 0").groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_row").alias("_again")))
+    few = lambda df: F.broadcast(df) if df.count() <= jaccard.ID_ROWS else df
+    left = docs.withColumn("_row", row).join(few(gone), F.col("_row") == F.col("_gone"), "left_anti")
+    on = F.col("_row") == F.col("_again")
+    once = left.join(few(repeated), on, "left_semi").dropDuplicates(["_row"])
+    return named(left.join(few(repeated), on, "left_anti").unionByName(once).select(*docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +60,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: Mixing draws by hashes that SQL does not have; tests/llm compare the stages with plain-Python versions.
+#: Mixing draws by hashes that SQL does not have; tests/llm/test_pipeline.py compares the stages with plain-Python versions.
 ORACLE_SQL = None
 
 
