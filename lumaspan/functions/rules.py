@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,9 +58,22 @@ def endpoint_host(url: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(place, r":\d*$", ""), r"^\[|\]$", "")))
 
 
-def masked_endpoint(text: Column) -> Column:
-    """User info of urls in a text becomes three stars; host and port stay."""
-    return F.regexp_replace(text, r"([A-Za-z][A-Za-z0-9+.-]*://)[^/@\s]+@", "$1***@")
+def masked_endpoint(text: Column, pool: tuple[str, ...] = ()) -> Column:
+    """User info of urls in a text becomes three stars; host and port stay. Entries of the pool are masked literally first."""
+    for entry in filter(None, pool):
+        place = entry.split("://", 1)[-1]
+        kept = place.rpartition("@")[2]
+        if kept != place:
+            text = F.replace(text, F.lit(entry), F.lit(entry[: len(entry) - len(place)] + "***@" + kept))
+    parts = F.split(text, "://")
+
+    def cut(part: Column, i: Column) -> Column:
+        before = F.get(parts, i - 1)
+        named = before.rlike("[A-Za-z0-9+.-]$") & F.regexp_extract(before, "([A-Za-z0-9+.-]*)$", 1).rlike("[A-Za-z]")
+        at = F.instr(F.regexp_extract(part, r"^[^/\s]*", 0), "@")
+        return F.when((i > 0) & named & (at > 1), F.concat(F.lit("***"), F.substr(part, at))).otherwise(part)
+
+    return F.array_join(F.transform(parts, cut), "://")
 
 
 _SPACE = r"\s\x1c-\x1f\x85\p{Z}"
@@ -84,16 +99,32 @@ def redacted(text: Column, secrets: tuple[str, ...] = ()) -> Column:
     return t
 
 
+# The words that stand before a country or after it, and before minutes.
+COUNTRY_MARKS = ("zone", "region", "country")
+SESSION_MARKS = ("sid", "sess")
+MINUTE_MARKS = ("sesstime-", "time")
+
+
 def country_of(line: Column) -> Column:
-    """Two letters after a zone, region or country mark, else before a session mark, else a host label of two; else ??."""
-    some = lambda x: F.nullif(F.upper(x), F.lit(""))
-    marked = F.regexp_extract(line, r"(?i)(?:_zone_|zone[-_]|region[-_]|country[-_])([a-z]{2})(?:\b|[_-])", 1)
-    session = F.regexp_extract(line, r"(?i)[_-]([a-z]{2})[_-](?:sid|session|sess)", 1)
-    label = F.regexp_extract(endpoint_host(endpoint_url(line)), r"^([a-z]{2})(?:\.|$)", 1)
-    return F.coalesce(some(marked), some(session), some(label), F.lit("??"))
+    """The two-letter token after one that ends in a country mark, else one before a session mark, else a host label of two letters; else ??.
+
+    Tokens are joined by single hyphens or underscores; anything else between them keeps them apart."""
+    tokens = F.split(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}_-]+", "-|-"), "[-_]")
+    two = lambda t: t.rlike("^[a-z]{2}$")
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+    near = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.get(tokens, i - 1).alias("before"), F.get(tokens, i + 1).alias("after"), i.alias("i")))
+    first = lambda test: F.upper(F.get(F.filter(near, test), F.lit(0))["t"])
+    marked = first(lambda x: two(x.t) & any_of([x.before.endswith(m) for m in COUNTRY_MARKS]))
+    session = first(lambda x: two(x.t) & (x.i > 0) & (x.before != "|") & any_of([x.after.startswith(m) for m in SESSION_MARKS]))
+    label = F.split(endpoint_host(endpoint_url(line)), r"\.")[0]
+    return F.coalesce(marked, session, F.when(two(label), F.upper(label)), F.lit("??"))
 
 
 def session_seconds(line: Column) -> Column:
-    """Minutes of a session mark as seconds; null without one."""
-    mark = lambda p: F.nullif(F.regexp_extract(line, p, 1), F.lit(""))
-    return F.coalesce(mark(r"(?i)sessTime-(\d+)"), mark(r"(?i)time[_-]?(\d+)")).cast("int") * 60
+    """Minutes after a session mark as seconds; null without one. The plain mark may have a hyphen or underscore behind it."""
+    def minutes(mark: str) -> Column:
+        loose = "" if mark.endswith("-") else "[-_]?"
+        digits = F.transform(F.slice(F.split(F.lower(line), mark), 2, 1 << 20), lambda x: F.regexp_extract(x, f"^{loose}([0-9]+)", 1))
+        return F.get(F.filter(digits, lambda d: d != ""), F.lit(0))
+
+    return F.coalesce(*map(minutes, MINUTE_MARKS)).cast("int") * 60

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIDE, LOW = 32, 8
+BLOCK = 8  # pixels of a coded block
 LUMA = np.array([0.299, 0.587, 0.114])
 
 
@@ -49,7 +50,7 @@ def blockiness(gray: np.ndarray) -> float:
     if min(gray.shape) < 16:
         return 0.0
     across, down = np.abs(np.diff(gray, axis=1)), np.abs(np.diff(gray, axis=0))
-    edges = across[:, LOW - 1 :: LOW].mean() + down[LOW - 1 :: LOW].mean()
+    edges = across[:, BLOCK - 1 :: BLOCK].mean() + down[BLOCK - 1 :: BLOCK].mean()
     return float(max(0.0, (edges - across.mean() - down.mean()) / 2))
 
 

@@ -1,5 +1,5 @@
 """Named queries over the dataset tables, one module per area."""
 
-from lumaspan.plans import evidence, neardup, relational, text
+from lumaspan.plans import cases, evidence, neardup, relational, text
 
-MODULES = [evidence, neardup, relational, text]
+MODULES = [evidence, neardup, relational, text, cases]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumaspan.functions.rules import redacted
+from lumaspan.functions.rules import endpoint_url, redacted
 from lumaspan.tables import table
 
 QUERIES, SQL = {}, {}
@@ -38,47 +38,12 @@ def redacted_documents(spark, sf):
 QUERIES["redacted_documents"] = redacted_documents
 
 
-@query(r"""WITH e AS (SELECT event_id, event_type, coalesce(TRY_CAST(regexp_extract(props, '"k":\s*(\d+)', 1) AS INT), -1) AS code FROM events)
-SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'success' WHEN code < 0 THEN 'unknown' WHEN code & 64 <> 0 THEN 'authorization' WHEN code & 32 <> 0 THEN 'unsupported' WHEN code & 16 <> 0 THEN 'authentication' WHEN code & 8 <> 0 THEN 'not_found' WHEN code & 4 <> 0 THEN 'http' ELSE 'transient' END AS outcome FROM e""")
-def classified_results(spark, sf):
-    """Outcome classes in order: success, no code, then the bits from the highest."""
-    code = F.coalesce(F.expr(r"""try_cast(regexp_extract(props, '"k":\\s*(\\d+)', 1) AS INT)"""), F.lit(-1))
-    c = F.col("code")
-    rules = F.when(F.col("event_type") == "purchase", "success").when(c < 0, "unknown")
-    for bit, name in ((64, "authorization"), (32, "unsupported"), (16, "authentication"), (8, "not_found"), (4, "http")):
-        rules = rules.when(c.bitwiseAND(bit) != 0, name)
-    return table(spark, sf, "events").select("event_id", "event_type", code.alias("code")).select("event_id", rules.otherwise("transient").alias("outcome"))
-
-
-@query(r"""SELECT page_id, CASE WHEN u IS NULL OR u = '' THEN NULL ELSE 'https://' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '^[a-z]+://', ''), '[?#].*$', ''), '/+', '/', 'g'), '/$', '') END AS canonical FROM (SELECT page_id, trim(url) AS u FROM pages)""")
-def canonical_urls(spark, sf):
-    """https, no query or fragment, single slashes, none at the end."""
-    u = F.trim("url")
-    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(u, r"^[a-z]+://", ""), r"[?#].*$", ""), r"/+", "/"), r"/$", "")
-    return table(spark, sf, "pages").select("page_id", F.when(u != "", F.concat(F.lit("https://"), c)).alias("canonical"))
-
-
-@query(r"""SELECT page_id, CASE WHEN id <> '' THEN host || ':' || id END AS source_key FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^(www|m|blog)\.', '') AS host, regexp_extract(url, '^[a-z]+://[^/?#]+/[a-z]{2}/(\d+)', 1) AS id FROM pages)""")
-def source_keys(spark, sf):
-    """Mirror and mobile hosts fold into one; the numeric id of the path is the key."""
-    host = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1), r"^(www|m|blog)\.", "")
-    id_ = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/[a-z]{2}/(\d+)", 1)
-    return table(spark, sf, "pages").select("page_id", F.when(id_ != "", F.concat(host, F.lit(":"), id_)).alias("source_key"))
-
-
 @query(r"""SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS INT) AS links, list_aggregate(list_sort(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))), 'string_agg', ' ') AS targets FROM pages""")
 def page_titles_links(spark, sf):
     links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1).alias("title"), F.size(links).alias("links"), F.array_join(F.array_sort(F.array_distinct(links)), " ").alias("targets"))
 
 
-@query(r"""SELECT page_id, CASE WHEN host LIKE '%.example.com' THEN 'com' WHEN host LIKE '%.example.net' THEN 'net' WHEN host LIKE '%.example.org' THEN 'org' ELSE 'other' END AS platform, 'https://' || host AS crawl_url FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages)""")
-def external_profiles(spark, sf):
-    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
-    p = F.when(host.endswith(".example.com"), "com").when(host.endswith(".example.net"), "net").when(host.endswith(".example.org"), "org").otherwise("other")
-    return table(spark, sf, "pages").select("page_id", p.alias("platform"), F.concat(F.lit("https://"), host).alias("crawl_url"))
-
-
 @query(r"""SELECT s_suppkey, 'https://search.invalid/?q=' || replace(replace(s_name, '#', '%23'), ' ', '+') AS url FROM supplier""")
 def search_urls(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("https://search.invalid/?q="), F.url_encode("s_name")).alias("url"))
@@ -91,10 +56,7 @@ def normalized_endpoints(spark, sf):
     h = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     k = F.col("page_id") % 4
     made = F.when(k == 0, F.concat(h, F.lit(":8080"))).when(k == 1, F.concat(F.lit("http://"), h, F.lit(":8080"))).when(k == 2, F.concat(F.lit("user:pw@"), h, F.lit(":8080"))).otherwise(F.concat(h, F.lit(":8080:user:pw")))
-    line = F.col("line")
-    parts = F.split(line, ":")
-    out = F.when(line.contains("://"), line).when(line.contains("@"), F.concat(F.lit("http://"), line)).when(
-        F.size(parts) == 4, F.concat(F.lit("http://"), parts[2], F.lit(":"), parts[3], F.lit("@"), parts[0], F.lit(":"), parts[1])).otherwise(F.concat(F.lit("http://"), line))
+    out = endpoint_url(F.col("line"))
     return table(spark, sf, "pages").select("page_id", made.alias("line")).select("page_id", "line", out.alias("endpoint"))
 
 
