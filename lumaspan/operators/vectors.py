@@ -69,14 +69,19 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine_topk(df: DataFrame, key: str, vector: str, k: int, floor: float, block: int = 4096) -> DataFrame:
-    """Directed neighbours (a, b, similarity): the k best other rows of each row, at the floor or above; ties by key.
+    """Directed neighbours (a, b, similarity): the k best other rows of each row by the cosine of their vectors, at the floor or above; ties by key.
+    Vectors need not have unit length; those of length 0 have similarity 0 with all.
 
     About ``block`` rows make a block. Each two blocks are scored in a task of their own by matrix products, and the best k
     of each row there go to a window per row."""
     import numpy as np
     import pandas as pd
 
-    base = df.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    base = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL")
+
+    def unit(vectors) -> np.ndarray:
+        m = np.array(vectors.tolist(), np.float64)
+        return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"a": [], "b": [], "similarity": []})]
@@ -84,10 +89,10 @@ def cosine_topk(df: DataFrame, key: str, vector: str, k: int, floor: float, bloc
             if not len(own):
                 continue
             own = own.sort_values("id")
-            m, ids = np.array(own["v"].tolist(), np.float64), own["id"].to_numpy()
+            m, ids = unit(own["v"]), own["id"].to_numpy()
             for i in range(0, len(ask), 1024):
                 part = ask.iloc[i : i + 1024]
-                s = np.array(part["v"].tolist(), np.float64) @ m.T
+                s = unit(part["v"]) @ m.T
                 for a, row in zip(part["id"], s, strict=True):
                     row = np.where(ids == a, -np.inf, np.round(row, 6))
                     best = np.lexsort((ids, -row))[:k]

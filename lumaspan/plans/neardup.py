@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumaspan.operators import groups as G
 from lumaspan.operators import vectors as V
 from lumaspan.tables import table
 
@@ -94,35 +95,15 @@ def keep_best(spark, sf):
 
 
 def complete_link_groups(spark, sf):
-    """Greedy complete-link groups inside each component: best rows first, each joins the compatible group of strongest weakest link."""
-    import pandas as pd
-
-    pairs = pair_classification(spark, sf)
-    ids = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
-    comp = V.components(ids, pairs).where("true")
-    edges = pairs.join(comp, F.col("a") == F.col("id")).select("label", "a", "b", "score")
-
-    def cliques(pdf: pd.DataFrame) -> pd.DataFrame:
-        score = {}
-        for a, b, s in zip(pdf["a"], pdf["b"], pdf["score"], strict=True):
-            score[a, b] = score[b, a] = s
-        groups: list[list[int]] = []
-        for n in sorted({x for k in score for x in k}):
-            best, at = -1.0, None
-            for g in groups:
-                weakest = min((score.get((n, m), -1.0) for m in g))
-                if weakest > best:
-                    best, at = weakest, g
-            groups.append([n]) if at is None else at.append(n)
-        return pd.DataFrame([(g[0], m) for g in groups if len(g) > 1 for m in g], columns=["anchor", "member"])
-
-    return edges.groupBy("label").applyInPandas(cliques, "anchor long, member long")
+    """Greedy complete-link groups of the classified pairs; rows with a smaller first value are better, then smaller ids."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.struct(F.get("embedding", F.lit(0)).alias("q"), "vec_id").alias("o"))
+    return G.complete_link(e, pair_classification(spark, sf).select("a", "b", "score"))
 
 
 HASHES = """h AS (SELECT vec_id AS id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > m THEN CASE WHEN i = 1 THEN -(1::HUGEINT << 63) ELSE (1::HUGEINT << CAST(64 - i AS INT)) END ELSE 0::HUGEINT END)) AS BIGINT) AS hash
   FROM (SELECT *, list_sort(embedding[2:64])[32] AS m FROM embeddings))"""
 HAMMING = HASHES + f""", hp AS (SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INT) AS distance FROM h x JOIN h y ON x.id < y.id WHERE bit_count(xor(x.hash, y.hash)) <= {RADIUS})"""
-COSINE = f"""v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+COSINE = f"""v AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / greatest(1e-12, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))) AS e FROM embeddings),
 s AS (SELECT x.id AS a, y.id AS b, round(list_inner_product(x.e, y.e), 6) AS similarity FROM v x JOIN v y ON x.id <> y.id),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS n FROM s) WHERE n <= {K} AND similarity >= {FLOOR}),
 cu AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(similarity) AS similarity, count(*) AS n FROM k GROUP BY 1, 2)"""
