@@ -26,6 +26,12 @@ def resolution_ratio(w1: str, h1: str, w2: str, h2: str) -> Column:
     return F.greatest(a, b) / F.least(a, b)
 
 
+def unit_digest(site: Column, url: Column, args: Column) -> Column:
+    """SHA-256 of a work unit's compact JSON [site, url, [arguments]], in hex; other characters than ASCII stay as they are."""
+    head = F.to_json(F.array(site, url))
+    return F.sha2(F.encode(F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(","), F.to_json(args), F.lit("]")), "utf-8"), 256)
+
+
 def should_skip(force: Column, interval: Column, last: Column, now: Column) -> Column:
     return ~force & (interval > 0) & (last > 0) & (now - last < interval)
 

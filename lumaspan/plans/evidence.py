@@ -38,11 +38,10 @@ def pair_geometry(spark, sf):
     return p.select("a", "b", F.round(R.aspect_delta("w1", "h1", "w2", "h2"), 6).alias("aspect_delta"), F.round(R.resolution_ratio("w1", "h1", "w2", "h2"), 6).alias("resolution_ratio"))
 
 
-@query("""SELECT doc_id, sha256('["' || source || '","' || lang || '",[' || doc_id || ']]') AS digest FROM documents""")
+@query("""SELECT doc_id, sha256(CAST(json_array(source, 'a"b' || lang, ['--range', CAST(doc_id AS VARCHAR)]) AS VARCHAR)) AS digest FROM documents""")
 def work_unit_digest(spark, sf):
-    """SHA-256 of the unit's compact JSON."""
-    unit = F.concat(F.lit('["'), "source", F.lit('","'), "lang", F.lit('",['), F.col("doc_id").cast("string"), F.lit("]]"))
-    return table(spark, sf, "documents").select("doc_id", F.sha2(F.encode(unit, "utf-8"), 256).alias("digest"))
+    url, args = F.concat(F.lit('a"b'), "lang"), F.array(F.lit("--range"), F.col("doc_id").cast("string"))
+    return table(spark, sf, "documents").select("doc_id", R.unit_digest(F.col("source"), url, args).alias("digest"))
 
 
 @query("""SELECT o_orderkey, (o_orderstatus <> 'F' AND o_orderkey % 7 > 0 AND o_orderkey % 11 > 0 AND 100 - o_orderkey % 11 * 9 < o_orderkey % 7 * 10) AS skipped FROM orders""")
@@ -175,15 +174,15 @@ def safe_counters(spark, sf):
 def preferred_tag(spark, sf):
     """The home tag if any healthy node has it, else none."""
     n = table(spark, sf, "nation").where("n_regionkey = 1")
-    j = table(spark, sf, "supplier").join(F.broadcast(n), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    j = table(spark, sf, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey"), "left")
     return j.agg(F.when(F.bool_or((F.col("s_acctbal") > 0) & F.col("n_name").isNotNull()), "us").alias("preferred"))
 
 
-@query("""SELECT conv_id, string_agg(content, chr(10) ORDER BY turn) AS log, CAST(count(*) AS BIGINT) AS lines FROM (SELECT conv_id, turn, role || ': ' || left(text, 60) AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 5 GROUP BY 1""")
+@query("""SELECT conv_id, string_agg(content, chr(10) ORDER BY turn) AS log, CAST(count(*) AS BIGINT) AS lines FROM (SELECT conv_id, turn, role || ': ' || text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 5 GROUP BY 1""")
 def ordered_log(spark, sf):
     """The last five lines of each task's log in order."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), F.substring("text", 1, 60)).alias("c"), F.row_number().over(w).alias("n")).where("n <= 5")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), F.col("text")).alias("c"), F.row_number().over(w).alias("n")).where("n <= 5")
     return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "c"))), lambda s: s.c), "\n").alias("log"), F.count("*").alias("lines"))
 
 

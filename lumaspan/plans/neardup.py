@@ -19,8 +19,8 @@ def _hashes(spark, sf):
 def exact_content_groups(spark, sf):
     """Texts with equal SHA-256: the least id is kept."""
     d = table(spark, sf, "documents").select("doc_id", F.sha2(F.encode("text", "utf-8"), 256).alias("content"))
-    w = Window.partitionBy("content")
-    return d.select("doc_id", "content", F.min("doc_id").over(w).alias("winner"), F.count("*").over(w).alias("members")).where("members > 1")
+    groups = d.groupBy("content").agg(F.min("doc_id").alias("winner"), F.count("*").alias("members")).where("members > 1")
+    return d.join(groups, "content").select("doc_id", "content", "winner", "members")
 
 
 def stable_ids(spark, sf):

@@ -190,10 +190,10 @@ def retry_delay(spark, sf):
     return orders(spark, sf).select("o_orderkey", F.least(30 * F.pow(F.lit(2.0), F.greatest(F.lit(0), F.col("o_orderkey") % 9 - 1)), F.lit(900.0)).alias("delay"))
 
 
-@query("SELECT doc_id, unnest(range(1, CAST(least(n_chars // 1000 + 1, 20) AS BIGINT) + 1)) AS unit FROM documents")
+@query("SELECT doc_id, unnest(range(1, CAST(n_chars // 1000 + 2 AS BIGINT))) AS unit FROM documents")
 def plan_units(spark, sf):
-    """One unit for each 1,000 characters, 20 at most: the planner's limit."""
-    n = F.least(F.floor(F.col("n_chars") / 1000) + 1, F.lit(20))
+    """One unit for each 1,000 characters begun. Budgets do not cut the list: ``planned_units`` marks what exceeds one."""
+    n = F.floor(F.col("n_chars") / 1000) + 1
     return table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("unit"))
 
 
@@ -206,7 +206,7 @@ def evidence_confidence(spark, sf):
 
 @query("SELECT n_nationkey, n_name, o_priority, cnt FROM (SELECT n_nationkey, n_name, o_orderpriority AS o_priority, count(*) AS cnt FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY ALL)")
 def scheme_counts(spark, sf):
-    j = orders(spark, sf).join(customer(spark, sf), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation(spark, sf)), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = orders(spark, sf).join(customer(spark, sf), F.col("o_custkey") == F.col("c_custkey")).join(nation(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_nationkey", "n_name", F.col("o_orderpriority").alias("o_priority")).agg(F.count("*").alias("cnt"))
 
 
@@ -259,7 +259,7 @@ def batch_percent(spark, sf):
 def policy_merge(spark, sf):
     """The site's policy where there is one, else the default."""
     n = nation(spark, sf).where("n_regionkey = 1")
-    return supplier(spark, sf).join(F.broadcast(n), F.col("n_nationkey") == F.col("s_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("default")).alias("policy"))
+    return supplier(spark, sf).join(n, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("default")).alias("policy"))
 
 
 @query("SELECT s_suppkey, s_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) AS n FROM supplier) WHERE n = 1")
