@@ -67,3 +67,17 @@ def resources(device: Column, cpus: Column, workers: Column) -> Column:
     return F.struct(
         work.alias("workers"), F.when(cpu, work).otherwise(F.least(F.lit(4), n)).cast("int").alias("decoders"),
         F.when(cpu, between(1, n / 8, 4)).otherwise(8).alias("batch"), F.when(cpu, between(64, n * 8, 256)).otherwise(512).alias("block"))
+
+
+def url_list(text: Column) -> Column:
+    """The entries of a text that lists addresses, each once, in order: one a line, several in a line with schemes or separators; comments and blanks go."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
+
+    def entries(x: Column) -> Column:
+        pieces = F.filter(F.transform(F.split(x, "[,;]+"), lambda p: F.trim(p)), lambda p: p != "")
+        urls = F.transform(F.regexp_extract_all(x, F.lit(r"https?://\S+"), F.lit(0)), lambda u: F.regexp_replace(u, "[,;]+$", ""))
+        bare = x.rlike("[,;]") & ~F.substring_index(x, ",", 1).contains("://")
+        several = F.size(F.regexp_extract_all(x, F.lit("https?://"), F.lit(0))) > 1
+        return F.when(bare, pieces).when(several, urls).otherwise(F.array(F.regexp_replace(x, "[,;]+$", "")))
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(lines, entries)), lambda x: F.trim(x) != ""))

@@ -119,3 +119,54 @@ def in_manifest_order(groups: DataFrame, root: str, kind: str, path: str, ranks:
     place = F.row_number().over(Window.partitionBy(root, "_s").orderBy("_i"))
     return rows.withColumn("_p", place).join(before, F.col(root).eqNullSafe(F.col("_r")) & (F.col("_s") == F.col("_t"))).select(
         *groups.columns, (F.col("_before") + F.col("_p")).alias("ordinal"))
+
+
+def batch_status(batches: DataFrame, addresses: DataFrame, batch: str, status: str, cancel: str) -> DataFrame:
+    """The status of each batch from its addresses': running (or cancelling) while any has not ended or there is none, then cancelled if that was
+    asked for, with errors if any failed or was cancelled, else succeeded. A batch that has ended keeps its status."""
+    s = F.col("_s")
+    counts = addresses.select(F.col(batch), F.col(status).alias("_s")).groupBy(batch).agg(
+        F.bool_and(F.coalesce(s.isin(*TERMINAL), F.lit(False))).alias("_over"), F.bool_or(F.coalesce(s.isin("failed", "cancelled"), F.lit(False))).alias("_errors"))
+    j = batches.join(counts, batch, "left")
+    asked = F.coalesce(F.col(cancel), F.lit(False))
+    ended = F.col(status).isin("succeeded", "completed_with_errors", "cancelled")
+    found = F.when(~F.coalesce("_over", F.lit(False)), F.when(asked, "cancelling").otherwise("running")).when(asked, "cancelled").when(F.col("_errors"), "completed_with_errors").otherwise("succeeded")
+    return j.select(batch, F.when(ended, F.col(status)).otherwise(found).alias("status"))
+
+
+def tag_facets(rows: DataFrame, row: str, tags: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Facets of tags (an array per row): namespace, place, tag_count, gallery_count; and their tags: namespace, value (the first spelling), count.
+
+    A tag counts once in a row, whatever its case. Known namespaces come in ``order``, others behind them. Rows are told apart by ``row``, which
+    also decides which spelling is first; tags that are blank count nowhere."""
+    from lumaspan.functions.text import namespaced_tag
+
+    t = rows.select(F.col(row).alias("_row"), F.posexplode(tags).alias("_pos", "_tag")).select("_row", "_pos", namespaced_tag(F.col("_tag")).alias("t")).where("t IS NOT NULL")
+    once = t.groupBy("t.namespace", "t.key", "_row").agg(F.min_by("t.value", "_pos").alias("value"))
+    found = once.groupBy("namespace", "key").agg(F.min_by("value", "_row").alias("value"), F.count("*").alias("count"))
+    places = F.array(*map(F.lit, order))
+    place = F.when(F.array_contains(places, F.col("namespace")), F.array_position(places, F.col("namespace"))).otherwise(len(order) + 1)
+    galleries = once.groupBy("namespace").agg(F.count_distinct("_row").alias("gallery_count"))
+    spaces = found.groupBy("namespace").agg(F.count("*").alias("tag_count")).join(galleries, "namespace").select("namespace", place.cast("int").alias("place"), "tag_count", "gallery_count")
+    return spaces, found.select("namespace", "value", "count")
+
+
+def country_table(outcomes: DataFrame, nodes: DataFrame, now: float) -> DataFrame:
+    """outcomes: country, result; nodes: country, until (end of the cooldown, null: none). success, fail, rate (percent, one digit, half to even), active and cooling nodes.
+
+    Countries are those of the outcomes; a null country is ??."""
+    named = lambda df: df.withColumn("country", F.coalesce(F.nullif("country", F.lit("")), F.lit("??")))
+    o = named(outcomes).groupBy("country").agg(*count_where(success=F.col("result") == "success", fail=F.col("result") == "fail"))
+    waits = F.coalesce(F.col("until") > now, F.lit(False))
+    n = named(nodes).groupBy("country").agg(F.count_if(~waits).alias("active"), F.count_if(waits).alias("cooling"))
+    total = F.col("success") + F.col("fail")
+    rate = F.when(total > 0, F.bround(100.0 * F.col("success") / total, 1)).otherwise(0.0)
+    return o.join(n, "country", "left").select("country", "success", "fail", rate.alias("rate"), F.coalesce("active", F.lit(0)).alias("active"), F.coalesce("cooling", F.lit(0)).alias("cooling"))
+
+
+def tail_outcomes(lines: DataFrame, position: str, line: str, last: int = 2000) -> DataFrame:
+    """Outcomes by country over the last lines of a JSON log: country, success, fail. Lines that are no objects count nowhere, but are lines of the tail."""
+    tail = lines.orderBy(F.desc(position)).limit(last)
+    rec = F.from_json(line, "country string, result string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    got = tail.select(rec.alias("r")).where("r IS NOT NULL AND r._bad IS NULL").select(F.coalesce(F.nullif("r.country", F.lit("")), F.lit("??")).alias("country"), "r.result")
+    return got.groupBy("country").agg(*count_where(success=F.col("result") == "success", fail=F.col("result") == "fail"))

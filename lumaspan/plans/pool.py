@@ -36,6 +36,9 @@ cases("resource_profiles", "supplier", "s_suppkey", {"d": ["cpu", "CPU", "cuda",
       {"workers": [4, 3, 8, 2, 4], "decoders": [4, 3, 4, 2, 4], "batch": [2, 1, 8, 8, 4], "block": [128, 64, 512, 512, 256]},
       lambda: {c: V.resources(F.col("d"), F.col("n"), F.col("w"))[c] for c in ("workers", "decoders", "batch", "block")})
 
+cases("url_lists", "part", "p_partkey", {"v": ["http://a/{}\n# c\r\nhttp://b,\n\nhttp://a/{}", "h1, h2;h3", "http://a http://b; https://c,", "http://a?x=1,2", "", None]},
+      {"urls": ["http://a/{} http://b", "h1 h2 h3", "http://a http://b https://c", "http://a?x=1,2", "", ""]}, lambda: {"urls": F.array_join(V.url_list(F.col("v")), " ")})
+
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey AS DOUBLE) END AS value FROM customer")
 def finite_values(spark, sf):

@@ -286,3 +286,51 @@ def short_circuit(spark, sf):
     """An address all of whose works are there already is done with no task, unless its batch is being cancelled."""
     done = (F.col("status") == "planning") & (F.col("batch") % 5 > 0) & (F.col("skipped") > 0)
     return _addresses(spark, sf).select("address", F.when(done, "succeeded").otherwise(F.col("status")).alias("status"), F.when(done, 0).alias("planned"))
+
+
+@query(f"""SELECT c_custkey AS batch, CASE WHEN c_custkey % 11 = 0 THEN 'succeeded' WHEN n IS NULL OR NOT over THEN CASE WHEN c_custkey % 4 = 0 THEN 'cancelling' ELSE 'running' END WHEN c_custkey % 4 = 0 THEN 'cancelled' WHEN errors THEN 'completed_with_errors' ELSE 'succeeded' END AS status
+FROM customer LEFT JOIN (SELECT batch, count(*) AS n, bool_and(status IN ('succeeded', 'failed', 'cancelled')) AS over, bool_or(status IN ('failed', 'cancelled')) AS errors FROM {ADDRESS_SQL} GROUP BY 1) ON batch = c_custkey""")
+def batch_statuses(spark, sf):
+    """Batches' statuses from their addresses', those that were asked to cancel and those that have ended included."""
+    k = F.col("c_custkey")
+    batches = table(spark, sf, "customer").select(k.alias("batch"), F.when(k % 11 == 0, "succeeded").otherwise("running").alias("status"), (k % 4 == 0).alias("cancel"))
+    return S.batch_status(batches, _addresses(spark, sf), "batch", "status", "cancel")
+
+
+TAG_SQL = """tg AS (SELECT p_partkey AS id, pos, CASE (p_partkey + pos) % 5 WHEN 0 THEN 'a:' || w WHEN 1 THEN 'Artist:' || upper(w) WHEN 2 THEN w WHEN 3 THEN 'zz:' || w ELSE 'f:' || w END AS tag FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w, generate_subscripts(string_split(p_type, ' '), 1) AS pos FROM part)),
+sp AS (SELECT id, pos, CASE WHEN tag LIKE 'a:%' OR tag LIKE 'Artist:%' THEN 'artist' WHEN tag LIKE 'f:%' THEN 'female' WHEN tag LIKE 'zz:%' THEN 'unknown' ELSE 'temp' END AS namespace, regexp_replace(tag, '^[A-Za-z]+:', '') AS value FROM tg),
+o1 AS (SELECT id, namespace, lower(value) AS key, arg_min(value, pos) AS value FROM sp GROUP BY 1, 2, 3), f1 AS (SELECT namespace, key, arg_min(value, id) AS value, count(*) AS n FROM o1 GROUP BY 1, 2)"""
+
+
+def _facets(spark, sf):
+    words = F.split("p_type", " ")
+    k = lambda i: (F.col("p_partkey") + i + 1) % 5
+    tags = F.transform(words, lambda w, i: F.when(k(i) == 0, F.concat(F.lit("a:"), w)).when(k(i) == 1, F.concat(F.lit("Artist:"), F.upper(w))).when(k(i) == 2, w).when(k(i) == 3, F.concat(F.lit("zz:"), w)).otherwise(F.concat(F.lit("f:"), w)))
+    return S.tag_facets(table(spark, sf, "part").select("p_partkey", tags.alias("tags")), "p_partkey", "tags", ["artist", "female", "temp"])
+
+
+@query(f"WITH {TAG_SQL} SELECT f1.namespace, CASE f1.namespace WHEN 'artist' THEN 1 WHEN 'female' THEN 2 WHEN 'temp' THEN 3 ELSE 4 END AS place, count(*) AS tag_count, any_value(g) AS gallery_count FROM f1 JOIN (SELECT namespace, count(DISTINCT id) AS g FROM o1 GROUP BY 1) x ON x.namespace = f1.namespace GROUP BY f1.namespace")
+def namespace_facets(spark, sf):
+    return _facets(spark, sf)[0]
+
+
+@query(f"WITH {TAG_SQL} SELECT namespace, value, n AS count FROM f1")
+def namespace_tags(spark, sf):
+    return _facets(spark, sf)[1]
+
+
+@query("""SELECT c, ok AS success, bad AS fail, CASE WHEN ok + bad > 0 THEN round_even(100.0::DOUBLE * ok / (ok + bad), 1) ELSE 0 END AS rate, coalesce(a, 0) AS active, coalesce(w, 0) AS cooling FROM (SELECT 'c' || user_id % 20 AS c, count(*) FILTER (event_type = 'purchase') AS ok, count(*) FILTER (event_type = 'view') AS bad FROM events GROUP BY 1)
+LEFT JOIN (SELECT 'c' || s_nationkey AS k, count(*) FILTER (s_suppkey % 3 > 0 OR s_suppkey <= 50) AS a, count(*) FILTER (s_suppkey % 3 = 0 AND s_suppkey > 50) AS w FROM supplier GROUP BY 1) ON k = c""")
+def country_table(spark, sf):
+    e = table(spark, sf, "events").select(F.concat(F.lit("c"), (F.col("user_id") % 20).cast("string")).alias("country"), F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "view", "fail").otherwise("other").alias("result"))
+    n = table(spark, sf, "supplier").select(F.concat(F.lit("c"), F.col("s_nationkey").cast("string")).alias("country"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey").cast("double")).alias("until"))
+    return S.country_table(e, n, 50.0).withColumnRenamed("country", "c")
+
+
+@query("""SELECT CASE WHEN user_id % 7 = 0 THEN '??' ELSE 'c' || user_id % 7 END AS country, count(*) FILTER (event_type = 'purchase') AS success, count(*) FILTER (event_type = 'view') AS fail FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 2000) WHERE event_id % 10 > 0 GROUP BY 1""")
+def tail_outcomes(spark, sf):
+    """Outcomes by country over the last 2,000 lines of a JSON log; broken lines count nowhere."""
+    k = F.col("user_id") % 7
+    result = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "view", "fail").otherwise("other")
+    line = F.to_json(F.struct(F.when(k > 0, F.concat(F.lit("c"), k.cast("string"))).alias("country"), result.alias("result")))
+    return S.tail_outcomes(table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, "{broken").otherwise(line).alias("line")), "event_id", "line")
