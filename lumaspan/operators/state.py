@@ -96,10 +96,10 @@ def chosen_images(images: DataFrame, modes: DataFrame, group: str, recommended:
     return j.select(*(c for c in images.columns if c not in ("selected", "decided")), by_mode.alias("selected"), (F.col("decided") & F.col("mode").isNull()).alias("decided"))
 
 
-def artifact_totals(files: DataFrame, by: str, path: str, length: str) -> DataFrame:
-    """Files and bytes of each task, without partial downloads and activity marks."""
+def artifact_totals(files: DataFrame, by: str, path: str, length: str, marks: str = ".activity-") -> DataFrame:
+    """Files and bytes of each task, without partial downloads and files whose name begins with ``marks``."""
     name = F.substring_index(F.col(path), "/", -1)
-    own = files.where(~F.lower(name).endswith(".part") & ~name.startswith(".gdl-activity-"))
+    own = files.where(~F.lower(name).endswith(".part") & ~name.startswith(marks))
     return own.groupBy(by).agg(F.count("*").alias("files"), F.sum(length).alias("bytes"))
 
 

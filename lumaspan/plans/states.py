@@ -200,7 +200,7 @@ def visible_addresses(spark, sf):
 @query("""SELECT l_orderkey AS task, count(*) AS files, CAST(sum(l_partkey) AS BIGINT) AS bytes FROM lineitem WHERE l_linenumber % 5 NOT IN (1, 2) GROUP BY 1""")
 def artifact_totals(spark, sf):
     n = F.col("l_linenumber") % 5
-    path = F.when(n == 1, "a/b.PART").when(n == 2, "a/.gdl-activity-7").when(n == 3, "a.part/c.png").otherwise("d.png")
+    path = F.when(n == 1, "a/b.PART").when(n == 2, "a/.activity-7").when(n == 3, "a.part/c.png").otherwise("d.png")
     return S.artifact_totals(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task"), path.alias("path"), F.col("l_partkey").alias("n")), "task", "path", "n")
 
 
