@@ -136,3 +136,29 @@ def letter_words() -> np.ndarray:
     t = np.zeros(256, bool)
     t[48:58] = t[65:91] = t[97:123] = t[128:] = True
     return t
+
+
+def folded(others: str) -> bytes:
+    """A translation of bytes that lower-cases A-Z and makes each ASCII byte outside a-z and ``others`` a space."""
+    t = bytearray(range(256))
+    t[:128] = b" " * 128
+    for c in "abcdefghijklmnopqrstuvwxyz" + others:
+        t[ord(c)] = ord(c)
+    for c in range(65, 91):
+        t[c] = c + 32
+    return bytes(t)
+
+
+def word_lists(text: bytes, table: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of about ``piece`` bytes of text each, so that a long text needs no more memory than others."""
+    at = 0
+    while at < len(text):
+        some = text[at : at + piece].translate(table)
+        if at + piece < len(text) and some[-1] != 32:  # up to the end of the word that is cut
+            end = at + piece
+            while end < len(text) and b" " not in (more := text[end : end + 4096].translate(table)):
+                some, end = some + more, end + 4096
+            if end < len(text):
+                some += more[: more.index(b" ")]
+        at += len(some)
+        yield some.split()

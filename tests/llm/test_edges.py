@@ -14,6 +14,7 @@ KINDS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "pages": "page_id long, url string, html string",
     "benchmark": "item_id long, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
 }
 #: Names that the operators use inside or return; extra columns of the input may have them.
 EXTRA = ["shard", "slot", "size", "law", "kept", "n", "_n", "_a", "_b", "_h", "_host", "_q_failed", "_q_host", "_t", "_k", "_gone", "component_id", "n_shingles", "verdict", "rule", "host", "path", "_source", "_copies", "_shards", "target", "_ll", "_best", "label", "key", "id"]
@@ -41,7 +42,8 @@ def full(spark, tmp_path_factory):
     docs += [(None, sentence("en", 60), "en", "a", 1), (None, None, None, None, None)]
     pages = [(0, "https://a.example.com/en/1", "<html lang=de><body><p>" + sentence("de", 40) + "</p></body></html>"), (1, None, None), (2, "", ""), (None, "x", "<p>a"), (0, "https://a.example.com/en/1", "<p>b &amp; c")]
     items = [(0, sentence("en", 30)), (1, None), (2, ""), (None, "a b"), (0, sentence("fr", 9))]
-    return folder(spark, tmp_path_factory.mktemp("full"), {"documents": docs, "pages": pages, "benchmark": items}, EXTRA), len(docs), len(pages)
+    vectors = [(k * 10, [rng.gauss(0, 1) for _ in range(6)], 0) for k in range(20)] + [(50, None, 1), (150, [], None), (None, [1.0], 0), (7, [1.0, None], 0), (0, [float("nan")], 0), (250, [1.0], 0), (3, [float("inf")], 0)]
+    return folder(spark, tmp_path_factory.mktemp("full"), {"documents": docs, "pages": pages, "benchmark": items, "embeddings": vectors}, EXTRA), len(docs), len(pages)
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +55,7 @@ def nothing(spark, tmp_path_factory):
 def test_nulls_repeats_and_clashing_columns(spark, full, name):
     path, docs, pages = full
     n = registry.QUERIES[name](spark, path).count()
-    want = {"op3_url_filters": pages, "op4_html_extraction": pages, "op6_language_id": docs + pages, "op7_benchmark_decontamination": None}
+    want = {"op3_url_filters": pages, "op4_html_extraction": pages, "op6_language_id": docs + pages, "op7_benchmark_decontamination": None, "op12_exact_topk": 25, "op13_source_divergence": 16}
     assert want.get(name, docs) in (None, n)
 
 
