@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumaspan.operators import graph, metric
 from lumaspan.operators.storage import stored
 
 
@@ -19,90 +20,49 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
-def block_pairs(base: DataFrame, block: int) -> DataFrame:
-    """Rows dealt by id into blocks of about ``block`` rows (blk), repeated for each two blocks i <= j of which theirs is one."""
-    blocks = max(1, -(-base.count() // block))
-    rows = base.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return rows.select("*", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j")).drop("o")
+def hash_classes(df: DataFrame, key: str, hash_: str) -> DataFrame:
+    """Rows of equal hash as one class: h, rep (the least key), members."""
+    return df.groupBy(F.col(hash_).alias("h")).agg(F.min(key).alias("rep"), F.count("*").alias("members"))
 
 
-def sides(pdf):
-    """(asking rows, rows of the other block) in both directions; a block with itself once."""
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    x, y = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
-    return [(x, x)] if i == j else [(x, y), (y, x)]
+def hamming_class_pairs(classes: DataFrame, radius: int, block: int = metric.BLOCK) -> DataFrame:
+    """Pairs (a, b, distance) of the classes' reps, a < b, within the radius; classes: h (distinct), rep.
 
+    Up to 7 bits the hash is cut into radius + 1 bands, one of which two such hashes share (pigeonhole): an equi join. Wider radii have
+    no selective bands: a range join over metric cells."""
+    base = classes.where("h is not null and rep is not null").select(F.col("rep").alias("id"), F.col("h").alias("x"))
+    if radius > 7:
+        return metric.range_pairs(base, metric.Bits, radius, block).select("a", "b", F.col("distance").cast("int").alias("distance"))
+    edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
+    parts = F.array(*(F.shiftrightunsigned("x", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)) for a, b in zip(edges[:-1], edges[1:], strict=True)))
+    left = base.select(F.col("id").alias("a"), F.col("x").alias("ha"), F.posexplode(parts).alias("k", "v"))
+    right = base.select(F.col("id").alias("b"), F.col("x").alias("hb"), F.posexplode(parts).alias("k", "v"))
+    distance = hamming(F.col("ha"), F.col("hb"))
+    return left.join(right, ["k", "v"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
 
-def hamming_pairs(df: DataFrame, key: str, hash_: str, radius: int, block: int = 4096) -> DataFrame:
-    """Pairs (a, b, distance), a < b, within the radius.
 
-    Up to 7 bits the hash is cut into radius + 1 bands, one of which two such hashes share (pigeonhole): an equi join. Wider
-    radii have no selective bands; about ``block`` rows make a block, and each two blocks are compared as arrays in a task of their own."""
-    base = df.select(F.col(key).alias("id"), F.col(hash_).alias("h"))
-    if radius <= 7:
-        edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
-        parts = F.array(*(F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)) for a, b in zip(edges[:-1], edges[1:], strict=True)))
-        left = base.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.posexplode(parts).alias("k", "v"))
-        right = base.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.posexplode(parts).alias("k", "v"))
-        distance = hamming(F.col("ha"), F.col("hb"))
-        return left.join(right, ["k", "v"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
-    import numpy as np
-    import pandas as pd
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a": [], "b": [], "distance": []})]
-        for ask, own in sides(pdf):
-            ids, h = own["id"].to_numpy(), own["h"].to_numpy().view(np.uint64)
-            for i in range(0, len(ask), 512):
-                some = ask.iloc[i : i + 512]
-                bits = np.bitwise_count(some["h"].to_numpy().view(np.uint64)[:, None] ^ h[None, :])
-                x, y = np.nonzero((bits <= radius) & (some["id"].to_numpy()[:, None] < ids[None, :]))
-                out.append(pd.DataFrame({"a": some["id"].to_numpy()[x], "b": ids[y], "distance": bits[x, y].astype(np.int32)}))
-        return pd.concat(out)
-
-    return block_pairs(base, block).groupBy("i", "j").applyInPandas(compare, "a long, b long, distance int")
+def hamming_pairs(df: DataFrame, key: str, hash_: str, radius: int, block: int = metric.BLOCK) -> DataFrame:
+    """Pairs (a, b, distance), a < b, within the radius, copies in all pairs. Components need only the classes' pairs."""
+    rows = stored(df.select(F.col(key).alias("id"), F.col(hash_).alias("h")).where("h is not null"))
+    classes = stored(hash_classes(rows, "id", "h"))
+    near = hamming_class_pairs(classes, radius, block)
+    named = rows.join(classes.where("members > 1").select("h", "rep"), "h", "left").select(F.coalesce("rep", "id").alias("rep"), "id")
+    x, y = named.select(F.col("rep").alias("a"), F.col("id").alias("ia")), named.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
+    far = near.join(x, "a").join(y, "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "distance")
+    copies = rows.join(classes.where("members > 1").select("h"), "h")
+    same = copies.select("h", F.col("id").alias("a")).join(copies.select("h", F.col("id").alias("b")), "h").where("a < b")
+    return far.unionByName(same.select("a", "b", F.lit(0).alias("distance")))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_topk(df: DataFrame, key: str, vector: str, k: int, floor: float, block: int = 4096) -> DataFrame:
+def cosine_topk(df: DataFrame, key: str, vector: str, k: int, floor: float, block: int = metric.BLOCK) -> DataFrame:
     """Directed neighbours (a, b, similarity): the k best other rows of each row by the cosine of their vectors, at the floor or above; ties by key.
-    Vectors need not have unit length; those of length 0 have similarity 0 with all.
-
-    About ``block`` rows make a block. Each two blocks are scored in a task of their own by matrix products, and the best k
-    of each row there go to a window per row."""
-    import numpy as np
-    import pandas as pd
-
-    base = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL")
-
-    def unit(vectors) -> np.ndarray:
-        m = np.array(vectors.tolist(), np.float64)
-        return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a": [], "b": [], "similarity": []})]
-        for ask, own in sides(pdf):
-            if not len(own):
-                continue
-            own = own.sort_values("id")
-            m, ids = unit(own["v"]), own["id"].to_numpy()
-            for i in range(0, len(ask), 1024):
-                part = ask.iloc[i : i + 1024]
-                s = unit(part["v"]) @ m.T
-                for a, row in zip(part["id"], s, strict=True):
-                    row = np.where(ids == a, -np.inf, np.round(row, 6))
-                    best = np.lexsort((ids, -row))[:k]
-                    best = best[row[best] >= floor]
-                    out.append(pd.DataFrame({"a": a, "b": ids[best], "similarity": row[best]}))
-        return pd.concat(out)
-
-    found = block_pairs(base, block).groupBy("i", "j").applyInPandas(score, "a long, b long, similarity double")
-    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+    Vectors need not have unit length; those of length 0 have similarity 0 with all, null ones take no part."""
+    rows = df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("x")).where("x is not null and id is not null")
+    return metric.nearest(rows, k, floor, block)
 
 
 def cosine_pairs(directed: DataFrame, mutual: bool) -> DataFrame:
@@ -121,16 +81,15 @@ def merge_candidates(sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes: id; edges: a, b. Each node's least reachable id, by repeated minimum of neighbours with shortcuts."""
-    ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stored(edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct())
-    labels = stored(nodes.select("id", F.col("id").alias("label")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("l"))
-        up = labels.select(F.col("id").alias("u"), F.col("label").alias("ul"))
-        step = stored(step.join(up, F.col("l") == F.col("u"), "left").select("id", "was", F.least("l", F.coalesce("ul", "l")).alias("label")))
-        moved = step.where("was <> label").count()
-        labels = step.select("id", "label")
-        if not moved:
-            return labels
+    """nodes: id; edges: a, b. Each node's least reachable id."""
+    root = graph.components(edges.select(F.col("a").alias("_a"), F.col("b").alias("_b")))
+    return nodes.join(root, F.col("id") == F.col("_node"), "left").select("id", F.coalesce("_root", "id").alias("label"))
+
+
+def hamming_components(df: DataFrame, key: str, hash_: str, radius: int, block: int = metric.BLOCK) -> DataFrame:
+    """id and label, the least key that is reached by pairs within the radius; links run between classes of equal hash."""
+    rows = stored(df.select(F.col(key).alias("id"), F.col(hash_).alias("h")))
+    classes = stored(hash_classes(rows.where("h is not null"), "id", "h"))
+    roots = stored(components(classes.select(F.col("rep").alias("id")), hamming_class_pairs(classes, radius, block)))
+    named = classes.join(roots, F.col("rep") == F.col("id")).select("h", "label")
+    return rows.join(named, "h", "left").select("id", F.coalesce("label", "id").alias("label"))

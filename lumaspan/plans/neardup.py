@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumaspan.operators import groups as G
 from lumaspan.operators import vectors as V
+from lumaspan.operators.storage import stored
 from lumaspan.tables import table
 
 RADIUS, FLOOR, K = 20, 0.30, 20
@@ -55,8 +56,7 @@ def candidate_provenance(spark, sf):
 
 def near_duplicate_components(spark, sf):
     """Components of the pairs within the radius; singletons are components of their own."""
-    ids = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
-    return V.components(ids, hamming_pairs(spark, sf)).select("id", F.col("label").alias("component"))
+    return V.hamming_components(_hashes(spark, sf), "id", "hash", RADIUS).select("id", F.col("label").alias("component"))
 
 
 def _classified(pairs):
@@ -69,7 +69,7 @@ def _classified(pairs):
 
 def _scored(spark, sf):
     """Candidates of either source with both measures; a missing similarity is null."""
-    h, c = _hashes(spark, sf), cosine_topk_union(spark, sf)
+    h, c = _hashes(spark, sf), stored(cosine_topk_union(spark, sf))
     pairs = hamming_pairs(spark, sf).select("a", "b").unionByName(c.select("a", "b")).distinct()
     x, y = h.select(F.col("id").alias("a"), F.col("hash").alias("ha")), h.select(F.col("id").alias("b"), F.col("hash").alias("hb"))
     return pairs.join(x, "a").join(y, "b").join(c, ["a", "b"], "left").select("a", "b", V.hamming(F.col("ha"), F.col("hb")).alias("distance"), "similarity")

@@ -59,16 +59,3 @@ def test_complete_link_groups_are_cliques(spark):
         groups.setdefault(r.anchor, []).append(r.member)
     for g in groups.values():
         assert all((min(a, b), max(a, b)) in pairs for a in g for b in g if a != b)
-
-
-def test_block_pairs_bound_what_a_task_holds(spark):
-    import numpy as np
-    from pyspark.sql import functions as F
-
-    from lumaspan.operators.vectors import block_pairs, cosine_topk, hamming_pairs
-
-    gen = np.random.default_rng(4)
-    df = spark.createDataFrame([(i, int(h), v) for i, (h, v) in enumerate(zip(gen.integers(-(2**63), 2**63, 300), gen.normal(size=(300, 8)).tolist(), strict=True))], "id long, h long, v array<double>")
-    assert block_pairs(df, 30).groupBy("i", "j").count().agg(F.max("count")).first()[0] < 150
-    for f in (lambda b: hamming_pairs(df, "id", "h", 24, b), lambda b: cosine_topk(df, "id", "v", 5, 0.1, b)):
-        assert sorted(map(tuple, f(30).collect())) == sorted(map(tuple, f(4096).collect()))
