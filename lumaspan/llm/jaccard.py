@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaspan.llm.common import documents, small, stored
-from lumaspan.llm.graph import components
+from lumaspan.operators.graph import components
 from lumaspan.llm.hashing import Words, ascii_fold, gap_words, joined, mix, pieces, text_bytes
 
 SHINGLE = 3
