@@ -5,7 +5,9 @@ Each stage takes what its predecessor kept, reread from Parquet; all but the las
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaspan.llm import decontamination, jaccard, mixing, quality, sharding
@@ -21,11 +23,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.reject(docs)
 
 
+def row_name(key: Column, text: Column) -> Column:
+    """A number for each different (key, text), in the order of keys, null last: the key and 62 bits of the text's hash. A plain number is
+    summed up by hash; a struct would be sorted."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    return wide(wide(F.coalesce(key.cast("decimal(20,0)"), F.lit(Decimal(1 << 64)))) * F.lit(1 << 62).cast("decimal(19,0)")) + wide(F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)))
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that of the least doc_id, then text hash. Rows that repeat a doc_id with other texts
     are documents of their own; of rows that repeat both, one stays. Documents without words stay, all of them."""
     docs, named = shielded(docs, "doc_id", "text")
-    row = F.struct("doc_id", F.xxhash64("text").alias("h"))
+    row = row_name(F.col("doc_id"), F.col("text"))
     found = stored(jaccard.join(docs.select(row.alias("_row"), "text"), key="_row", shingle=SHINGLE, percent=PERCENT, region=REGION))
     gone = stored(found.where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("_row"))).select(F.col("_row").alias("_gone")).distinct())
     repeated = stored(found.where("n_shingles > 0").groupBy("_row").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_row").alias("_again")))
