@@ -1,5 +1,5 @@
 """Named queries over the dataset tables, one module per area."""
 
-from lumaspan.plans import cases, evidence, neardup, pool, quality, relational, states, text
+from lumaspan.plans import cases, changes, evidence, neardup, pool, quality, relational, states, text
 
-MODULES = [evidence, neardup, relational, text, cases, states, quality, pool]
+MODULES = [changes, evidence, neardup, relational, text, cases, states, quality, pool]
