@@ -6,9 +6,6 @@ from pyspark.sql import functions as F
 
 from lumaspan.functions import values as V
 from lumaspan.operators import caches as C
-from lumaspan.plans.cases import QUERIES as _Q
-from lumaspan.plans.cases import SQL as _S
-from lumaspan.plans.cases import rule
 from lumaspan.tables import table
 
 QUERIES, SQL = {}, {}
@@ -22,24 +19,6 @@ def query(sql: str):
     return register
 
 
-def cases(name: str, *args) -> None:
-    """A query of made-up cases, registered here."""
-    rule(name, *args)
-    QUERIES[name], SQL[name] = _Q.pop(name), _S.pop(name)
-
-
-cases("trimmed_values", "part", "p_partkey", {"v": ["  a {} ", "", "  ", None, "12", "-7 ", "1.5", "+3", "x"]},
-      {"text": ["a {}", None, None, None, "12", "-7", "1.5", "+3", "x"], "number": [None, None, None, None, 12, -7, None, 3, None]}, lambda: {"text": V.trimmed(F.col("v")), "number": V.whole_number(F.col("v"))})
-cases("word_lists", "part", "p_partkey", {"v": ["a  b c d", "", None, " one{} "]}, {"words": ["a|b|c", "", "", "one{}"]}, lambda: {"words": F.array_join(V.split_list(F.col("v"), 3), "|")})
-cases("identity_keys", "part", "p_partkey", {"v": ["@Some Name", " A__b - C_", "@@x{}", "", None]}, {"key": ["some_name", "a_b_c", "x{}", "", None]}, lambda: {"key": V.identity_key(F.col("v"))})
-cases("resource_profiles", "supplier", "s_suppkey", {"d": ["cpu", "CPU", "cuda", None, "cpu"], "n": [16, 4, 16, 2, 64], "w": [0, 3, 0, 0, 0]},
-      {"workers": [4, 3, 8, 2, 4], "decoders": [4, 3, 4, 2, 4], "batch": [2, 1, 8, 8, 4], "block": [128, 64, 512, 512, 256]},
-      lambda: {c: V.resources(F.col("d"), F.col("n"), F.col("w"))[c] for c in ("workers", "decoders", "batch", "block")})
-
-cases("url_lists", "part", "p_partkey", {"v": ["http://a/{}\n# c\r\nhttp://b,\n\nhttp://a/{}", "h1, h2;h3", "http://a http://b; https://c,", "http://a?x=1,2", "", None]},
-      {"urls": ["http://a/{} http://b", "h1 h2 h3", "http://a http://b https://c", "http://a?x=1,2", "", ""]}, lambda: {"urls": F.array_join(V.url_list(F.col("v")), " ")})
-
-
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey AS DOUBLE) END AS value FROM customer")
 def finite_values(spark, sf):
     """Numbers that JSON can hold."""
@@ -47,18 +26,10 @@ def finite_values(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", V.finite(F.when(k % 6 == 0, F.lit(float("nan"))).when(k % 3 == 0, F.lit(float("-inf"))).otherwise(k.cast("double"))).alias("value"))
 
 
-@query("SELECT s_suppkey, '***' AS token, 'used Basic ***' AS note, '***' AS api, s_name AS name FROM supplier")
-def masked_fields(spark, sf):
-    """Fields with secret names are masked, the others redacted."""
-    m = F.create_map(F.lit("Access_Token"), F.lit("abc"), F.lit("note"), F.lit("used Basic dXNlcg=="), F.lit("api-key"), F.lit("k"), F.lit("name"), F.col("s_name"))
-    out = V.masked_fields(m)
-    return table(spark, sf, "supplier").select("s_suppkey", *(F.element_at(out, k).alias(c) for k, c in (("Access_Token", "token"), ("note", "note"), ("api-key", "api"), ("name", "name"))))
-
-
 @query("""SELECT n_nationkey, count(s_suppkey) FILTER (s_acctbal > 5000) AS ok, count(s_suppkey) FILTER (s_acctbal <= 5000) AS failed, round(CASE WHEN count(s_suppkey) = 0 THEN 1.0::DOUBLE ELSE greatest(10.0::DOUBLE * count(s_suppkey) FILTER (s_acctbal > 5000) / count(s_suppkey), 0.1::DOUBLE) END, 6) AS weight
-FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey < 15 GROUP BY 1""")
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
 def country_weights(spark, sf):
-    s = table(spark, sf, "supplier").where("s_suppkey < 15").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count_if(F.col("s_acctbal") > 5000).alias("o"), F.count_if(F.col("s_acctbal") <= 5000).alias("f"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count_if(F.col("s_acctbal") > 5000).alias("o"), F.count_if(F.col("s_acctbal") <= 5000).alias("f"))
     ok, failed = F.coalesce("o", F.lit(0)), F.coalesce("f", F.lit(0))
     return table(spark, sf, "nation").join(s, "n_nationkey", "left").select("n_nationkey", ok.alias("ok"), failed.alias("failed"), F.round(V.country_weight(ok, failed), 6).alias("weight"))
 

@@ -31,7 +31,7 @@ def redacted_text(spark, sf):
 
 
 def redacted_documents(spark, sf):
-    """Whole documents, redacted by all rules. No SQL: DuckDB's patterns cannot look back."""
+    """Whole documents, redacted by all rules. Its SQL takes the character before a word along, as it cannot look back."""
     return table(spark, sf, "documents").select("doc_id", redacted(F.col("text")).alias("text"))
 
 

@@ -1,49 +1,24 @@
-"""Text rules over made-up inputs, one of a list for each row of a table; the SQL states what each must give, so it shares no rule with the columns."""
+"""Text, value and endpoint rules over made-up inputs with the values they must give."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import pytest
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumaspan.functions import rules as R
 from lumaspan.functions import text as T
-from lumaspan.tables import table
-
-QUERIES, SQL = {}, {}
-
-
-def quoted(x) -> str:
-    if x is None or isinstance(x, (bool, int)):
-        return {None: "NULL", True: "true", False: "false"}.get(x, str(x)) if x is None or isinstance(x, bool) else str(x)
-    return "'" + x.replace("'", "''") + "'"
-
-
-def case(key: str, values: list) -> Column:
-    """The value of a list that a row's key picks, with the key in place of {}."""
-    out = F.lit(None)
-    for i, v in enumerate(values):
-        col = F.replace(F.lit(v), F.lit("{}"), F.col(key).cast("string")) if isinstance(v, str) else F.lit(v)
-        out = F.when(F.pmod(key, F.lit(len(values))) == i, col) if i == 0 else out.when(F.pmod(key, F.lit(len(values))) == i, col)
-    return out
-
-
-def sql_case(key: str, values: list) -> str:
-    whens = " ".join(f"WHEN {i} THEN " + (f"replace({quoted(v)}, '{{}}', CAST({key} AS VARCHAR))" if isinstance(v, str) else quoted(v)) for i, v in enumerate(values))
-    return f"CASE {key} % {len(values)} {whens} END"
+from lumaspan.functions import values as V
 
+CASES = {}
 
-def rule(name: str, source: str, key: str, inputs: dict[str, list], results: dict[str, list], made: Callable[[], dict[str, Column]]):
-    """A query that gives ``made()`` (name: column over the inputs) for each row; ``results`` are the values expected in turn."""
 
-    def run(spark, sf):
-        rows = table(spark, sf, source).select(key).withColumns({c: case(key, v) for c, v in inputs.items()})
-        return rows.select(key, *(col.alias(c) for c, col in made().items()))
+def rule(name, _source, _key, inputs, results, made):
+    CASES[name] = (inputs, results, made)
 
-    QUERIES[name] = run
-    SQL[name] = f"SELECT {key}, " + ", ".join(f"{sql_case(key, v)} AS {c}" for c, v in results.items()) + f" FROM {source}"
 
+def filled(value):
+    return value.replace("{}", "17") if isinstance(value, str) else value
 
 
 def _c(name: str) -> Column:
@@ -147,8 +122,36 @@ ENDPOINTS = [
     ("http://region-Fr-x:p@h:1", "FR", None), ("zone:us host", "??", None), ("http://country_gb:p@h:1?time_5", "GB", 300), ("x-zones-us", "??", None), ("u-ca-session-1", "CA", None), ("", "??", None),
 ]
 rule("endpoint_marks", "supplier", "s_suppkey", {"line": [x[0] for x in ENDPOINTS]}, {"country": [x[1] for x in ENDPOINTS]}, lambda: {"country": R.country_of(_c("line"))})
-QUERIES["endpoint_minutes"] = lambda spark, sf: table(spark, sf, "supplier").select("s_suppkey", case("s_suppkey", ["sessTime-{}", "x-TIME_{}-y", "time{}", "time--{}", "none", "sesstime-x time-{}"]).alias("line")).select(
-    "s_suppkey", R.session_seconds(F.col("line")).alias("seconds"))
-SQL["endpoint_minutes"] = "SELECT s_suppkey, CASE WHEN s_suppkey % 6 IN (0, 1, 2, 5) THEN CAST(s_suppkey * 60 AS INT) END AS seconds FROM supplier"
+rule("endpoint_minutes", "supplier", "s_suppkey", {"line": ["sessTime-17", "x-TIME_17-y", "time17", "time--17", "none", "sesstime-x time-17"]}, {"seconds": [1020, 1020, 1020, None, None, 1020]}, lambda: {"seconds": R.session_seconds(F.col("line"))})
 MASKED = [("http://u:p@h:1 and https://x@y/z@w", "http://***@h:1 and https://***@y/z@w"), ("no url a@b", "no url a@b"), ("://u@h", "://u@h"), ("1://u@h", "1://u@h"), ("a http://h/p@q b", "a http://h/p@q b"), (None, None), ("pool socks5://odd/name:pw@h:9 end", "pool socks5://***@h:9 end")]
 rule("masked_endpoints", "supplier", "s_suppkey", {"text": [a for a, _ in MASKED]}, {"text": [b for _, b in MASKED]}, lambda: {"text": R.masked_endpoint(_c("text"), ("socks5://odd/name:pw@h:9",))})
+
+rule("trimmed_values", "part", "p_partkey", {"v": ["  a {} ", "", "  ", None, "12", "-7 ", "1.5", "+3", "x"]},
+      {"text": ["a {}", None, None, None, "12", "-7", "1.5", "+3", "x"], "number": [None, None, None, None, 12, -7, None, 3, None]}, lambda: {"text": V.trimmed(F.col("v")), "number": V.whole_number(F.col("v"))})
+rule("word_lists", "part", "p_partkey", {"v": ["a  b c d", "", None, " one{} "]}, {"words": ["a|b|c", "", "", "one{}"]}, lambda: {"words": F.array_join(V.split_list(F.col("v"), 3), "|")})
+rule("identity_keys", "part", "p_partkey", {"v": ["@Some Name", " A__b - C_", "@@x{}", "", None]}, {"key": ["some_name", "a_b_c", "x{}", "", None]}, lambda: {"key": V.identity_key(F.col("v"))})
+rule("resource_profiles", "supplier", "s_suppkey", {"d": ["cpu", "CPU", "cuda", None, "cpu"], "n": [16, 4, 16, 2, 64], "w": [0, 3, 0, 0, 0]},
+      {"workers": [4, 3, 8, 2, 4], "decoders": [4, 3, 4, 2, 4], "batch": [2, 1, 8, 8, 4], "block": [128, 64, 512, 512, 256]},
+      lambda: {c: V.resources(F.col("d"), F.col("n"), F.col("w"))[c] for c in ("workers", "decoders", "batch", "block")})
+
+rule("url_lists", "part", "p_partkey", {"v": ["http://a/{}\n# c\r\nhttp://b,\n\nhttp://a/{}", "h1, h2;h3", "http://a http://b; https://c,", "http://a?x=1,2", "", None]},
+      {"urls": ["http://a/{} http://b", "h1 h2 h3", "http://a http://b https://c", "http://a?x=1,2", "", ""]}, lambda: {"urls": F.array_join(V.url_list(F.col("v")), " ")})
+
+
+
+rule("masked_fields", "supplier", "s_suppkey", {"k": ["Access_Token", "note", "api-key", "name"], "v": ["abc", "used Basic dXNlcg==", "k", "plain"]}, {"v": ["***", "used Basic ***", "***", "plain"]},
+     lambda: {"v": F.element_at(V.masked_fields(F.create_map(F.col("k"), F.col("v"))), F.col("k"))})
+rule("references", "pages", "page_id", {"url": ["https://www.pixiv.net/member_illust.php?mode=medium&amp;illust_id={}", "https://i.pximg.net/img-original/img/{}x.png", "https://pixiv.net/artworks/", "https://x.com/a/status/status/{}"]}, {"source_key": ["pixiv:{}", None, None, "twitter:{}"]},
+     lambda: {"source_key": T.source_key(F.col("url"))})
+rule("messages", "events", "event_id", {"tail": ["one\nlast token=abc \n \n", None, "x" * 1200]}, {"message": ["last token=***", "", "x" * 1000]}, lambda: {"message": T.outcome_message(F.col("tail"))})
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_rule(spark, name):
+    inputs, results, made = CASES[name]
+    n = max(map(len, [*inputs.values(), *results.values()]))
+    kinds = {c: next((type(x) for x in v if x is not None), str) for c, v in inputs.items()}
+    schema = "_row int, " + ", ".join(f"{c} {({str: 'string', int: 'int', bool: 'boolean'})[k]}" for c, k in kinds.items())
+    df = spark.createDataFrame([(i, *(filled(v[i % len(v)]) for v in inputs.values())) for i in range(n)], schema)
+    got = [tuple(r)[1:] for r in df.select("_row", *(c.alias(k) for k, c in made().items())).orderBy("_row").collect()]
+    assert got == [tuple(filled(v[i % len(v)]) for v in results.values()) for i in range(n)]
