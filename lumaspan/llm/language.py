@@ -181,10 +181,15 @@ def identify_documents(docs: DataFrame, model: Model, key: str = "doc_id", text:
     return fused(stored(text_scores(df, model, [key, "_declared", "_suffix", "_host"], text, False)), model.languages, [key])
 
 
+def declared_language(html: Column) -> Column:
+    """The lang attribute of the first html tag; empty without one. The tag is cut out once, up to its end or the page's, so broken pages are read once."""
+    tag = F.regexp_extract(html, r"(?i)<html(?=[\s/>])[^>]*", 0)
+    return F.regexp_extract(tag, r"(?i)[\s\"'/]lang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
+
+
 def identify_pages(frame: DataFrame, model: Model, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     host, _ = host_path(F.col(url))
-    tag = F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
-    df = frame.select(F.col(key), F.col(html), primary_tag(tag).alias("_declared"), host_suffix(host).alias("_suffix"), F.nullif(host, F.lit("")).alias("_host"))
+    df = frame.select(F.col(key), F.col(html), primary_tag(declared_language(F.col(html))).alias("_declared"), host_suffix(host).alias("_suffix"), F.nullif(host, F.lit("")).alias("_host"))
     return fused(stored(text_scores(df, model, [key, "_declared", "_suffix", "_host"], html, True)), model.languages, [key])
 
 
