@@ -101,11 +101,22 @@ def intervals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_line
     return found
 
 
-def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document that loses lines: _key, _h, _gone (indices among its lines with words)."""
+def removed_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row per maximal run of lines that a document loses: _key, _h, _start, _end (indices among its lines with words, the end not included).
+
+    Of a suffix only its longest interval counts; intervals that overlap or touch are joined as (start, end)."""
     later = intervals(docs, key, text, min_lines, min_words).where(F.struct(*PLACE) != F.col("_first"))
-    return later.groupBy("_key", "_h").agg(F.collect_set(F.struct("_at", "_n")).alias("_runs")).select(
-        "_key", "_h", F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["_at"], r["_at"] + r["_n"] - 1)))).alias("_gone"))
+    longest = later.groupBy(*PLACE).agg((F.col("_at") + F.max("_n")).alias("_to"))
+    order = Window.partitionBy("_key", "_h").orderBy("_at")
+    before = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    run = longest.withColumn("_new", (F.col("_at") > F.coalesce(before, F.lit(-1))).cast("int")).withColumn("_run", F.sum("_new").over(order))
+    return run.groupBy("_key", "_h", "_run").agg(F.min("_at").alias("_start"), F.max("_to").alias("_end")).drop("_run")
+
+
+def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per document that loses lines: _key, _h, _gone (indices among its lines with words, each once)."""
+    runs = removed_runs(docs, key, text, min_lines, min_words).groupBy("_key", "_h").agg(F.array_sort(F.collect_list(F.struct("_start", "_end"))).alias("_runs"))
+    return runs.select("_key", "_h", F.flatten(F.transform("_runs", lambda r: F.sequence(r["_start"], r["_end"] - 1))).alias("_gone"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:

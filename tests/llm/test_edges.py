@@ -126,3 +126,24 @@ def test_language_evidence_against_plain_python(spark):
         assert got[k].lang == names[int(np.argmax(score))]
         assert abs(got[k].confidence - 1 / np.exp(score - score.max()).sum()) < 1e-5
         assert got[k].text_lang == (None if best[k] is None else names[best[k]])
+
+
+def test_declared_language_of_broken_pages_in_one_pass(spark):
+    import time
+
+    pages = ["<html " * 180_000, "<HTML data-lang='de' lang=\"fr\"><p>", "<html><p lang=de>", "<htmlx lang=de>", "<html\nlang = it >", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "id long, html string").cache()
+    df.count()
+    began = time.perf_counter()
+    got = [r.x for r in df.select("id", language.declared_language(F.col("html")).alias("x")).orderBy("id").collect()]
+    assert got == ["", "fr", "", "", "it", None] and time.perf_counter() - began < 5
+
+
+def test_long_repeated_texts_lose_whole_runs(spark):
+    from lumaspan.llm import lines
+
+    text = "\n".join(f"line {i % 900} of {i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "own line\n" + text)], "doc_id long, text string")
+    assert [tuple(r) for r in lines.removed_runs(docs).select("_key", "_start", "_end").collect()] == [(2, 1, 100_001)]
+    got = {r.doc_id: (r._n_lines, r._n_removed, len(r._kept_text)) for r in lines.dedup(docs).collect()}
+    assert got == {1: (100_000, 0, len(text)), 2: (100_001, 100_000, 8)}
