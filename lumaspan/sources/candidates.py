@@ -71,7 +71,7 @@ def projected(rows: DataFrame) -> DataFrame:
     gallery = F.concat(F.lit("https://"), F.when(F.col("source_url").contains("exhentai.org"), "exhentai.org").otherwise("e-hentai.org"), F.lit("/g/"), "id", F.lit("/"), "token", F.lit("/"))
     url = F.when(on("twitter"), F.concat(F.coalesce(home, F.lit("https://x.com/i/web")), F.lit("/status/"), "id")).when(on("pixiv"), F.concat(F.lit("https://www.pixiv.net/artworks/"), "id")).when(
         on("danbooru"), F.concat(F.lit("https://danbooru.donmai.us/posts/"), "id")).when(on("exhentai"), F.coalesce(gallery, F.col("source_url"))).when(
-        on("exhentai", 6), F.concat(F.rtrim("address", F.lit("/")), F.lit("/"))).when(on("pawchive"), F.concat(home, F.lit("/post/"), "id")).when(on("pawchive", 6), F.coalesce("address", home))
+        on("exhentai", 6), F.concat(F.rtrim("address", F.lit("/")), F.lit("/"))).when(on("pawchive"), F.concat(home, F.lit("/post/"), "id")).when(on("pawchive", 6), F.coalesce(F.nullif(F.col("address"), F.lit("")), home))
     kind = label = F.lit(None).cast("string")
     for (site, t), k in KINDS.items():
         kind = F.when(on(site, t), k).otherwise(kind)
