@@ -73,3 +73,26 @@ def read_together(sources: dict[str, DataFrame], errors: dict[str, str]) -> tupl
     named = spark.createDataFrame([(k, True, None) for k in sources] + [(k, False, v) for k, v in errors.items()], "source string, ok boolean, error string")
     counts = out.groupBy("source").agg(F.count("*").alias("rows"))
     return out, named.join(counts, "source", "left").select("source", "ok", F.coalesce("rows", F.lit(0)).alias("rows"), "error")
+
+
+def picked_node(nodes: DataFrame, by: list[str], preferred: list[str], now: float, exclude: list[str] | None = None) -> DataFrame:
+    """The node of each group that is to be leased next, its load one higher; none where no node is able.
+
+    nodes: ``by``, id, healthy, cooldown_until, address, load, tls_fails, successes, fails, latency. Able nodes are healthy, not cooling and not
+    excluded. The order: addresses of the preferred list first, then less load, the place in that list, fewer TLS failures in a row, more
+    successes, fewer failures, lower latency (unknown last), id. One struct a group is kept, so nothing is sorted."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    address = F.trim(F.coalesce("address", F.lit("")))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, preferred)), address), F.lit(0)), F.lit(1 << 31)) if preferred else F.lit(1 << 31)
+    able = F.coalesce("healthy", F.lit(False)) & (F.coalesce("cooldown_until", F.lit(0.0)) <= now) & ~F.coalesce(F.col("id").isin(exclude or []), F.lit(False))
+    key = F.struct((place == 1 << 31).alias("a"), zero("load").alias("b"), place.alias("c"), zero("tls_fails").alias("d"), (-zero("successes")).alias("e"), zero("fails").alias("f"),
+                   F.col("latency").isNull().alias("g"), F.coalesce("latency", F.lit(0.0)).alias("h"), F.col("id").cast("string").alias("i"))
+    best = nodes.where(able).groupBy(*by).agg(F.min_by(F.struct(*[c for c in nodes.columns if c not in by]), key).alias("_x"))
+    return best.select(*by, "_x.*").withColumn("load", zero("load") + 1)
+
+
+def exact_units(items: DataFrame, key: str, pixel: str, file: str) -> DataFrame:
+    """Items of equal decoded content, else (where none could be decoded) of equal files: content (pixel: or file: and the hash), winner (least key), members, kind."""
+    content = F.coalesce(F.concat(F.lit("pixel:"), F.col(pixel)), F.concat(F.lit("file:"), F.col(file)))
+    units = items.groupBy(content.alias("content")).agg(F.min(key).alias("winner"), F.count("*").alias("members"))
+    return units.withColumn("kind", F.when(F.col("members") > 1, "exact").otherwise("single"))

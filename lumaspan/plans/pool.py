@@ -64,3 +64,24 @@ def readmitted_nodes(spark, sf):
 def available_pool(spark, sf):
     s, k = table(spark, sf, "supplier").select("s_suppkey"), F.col("s_suppkey")
     return C.available(s, s.where(k % 4 == 1).select(k, (k % 9 * 10).alias("deadline")), s.where(k % 5 == 0), "s_suppkey", 40)
+
+
+@query("""SELECT s_nationkey, s_suppkey AS id, s_suppkey % 3 + 1 AS load FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY NOT right(s_name, 1) IN ('7', '3'), s_suppkey % 3, CASE right(s_name, 1) WHEN '7' THEN 1 WHEN '3' THEN 2 ELSE 3 END,
+  CAST(floor(abs(s_acctbal)) AS BIGINT) % 4, -(CAST(floor(abs(s_acctbal)) AS BIGINT) % 10), CAST(floor(abs(s_acctbal)) AS BIGINT) % 7, s_acctbal > 9000, CASE WHEN s_acctbal > 9000 THEN 0 ELSE s_acctbal END, CAST(s_suppkey AS VARCHAR)) AS n
+  FROM supplier WHERE s_acctbal > -500 AND s_suppkey % 11 > 0) WHERE n = 1""")
+def node_pick(spark, sf):
+    """Suppliers as nodes of their nations; names that end in 7, then 3, are preferred."""
+    n = F.floor(F.abs("s_acctbal"))
+    nodes = table(spark, sf, "supplier").select(
+        "s_nationkey", F.col("s_suppkey").alias("id"), (F.col("s_acctbal") > -500).alias("healthy"), F.when(F.col("s_suppkey") % 11 == 0, 100.0).alias("cooldown_until"), F.right("s_name", F.lit(1)).alias("address"),
+        (F.col("s_suppkey") % 3).alias("load"), (n % 4).alias("tls_fails"), (n % 10).alias("successes"), (n % 7).alias("fails"), F.when(F.col("s_acctbal") <= 9000, F.col("s_acctbal").cast("double")).alias("latency"))
+    return C.picked_node(nodes, ["s_nationkey"], ["7", "3"], 50.0).select("s_nationkey", "id", "load")
+
+
+@query("""SELECT content, min(doc_id) AS winner, count(*) AS members, CASE WHEN count(*) > 1 THEN 'exact' ELSE 'single' END AS kind
+FROM (SELECT doc_id, CASE WHEN lang <> 'es' THEN 'pixel:' || md5(text) ELSE 'file:' || sha256(source || '/' || text) END AS content FROM documents) GROUP BY content""")
+def content_units(spark, sf):
+    """Texts as decoded content, but for Spanish ones, which count as files that could not be decoded."""
+    text = F.encode("text", "utf-8")
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") != "es", F.md5(text)).alias("pixel"), F.sha2(F.encode(F.concat("source", F.lit("/"), "text"), "utf-8"), 256).alias("file"))
+    return C.exact_units(d, "doc_id", "pixel", "file")

@@ -40,3 +40,18 @@ def test_a_cluster_needs_a_shared_folder():
     Session.sparkContext.master = "local[4]"
     Session.sparkContext.applicationId = "x"
     assert storage.scratch_dir(Session()).startswith("file:")
+
+
+def test_picked_node_by_all_parts_of_the_order(spark):
+    from lumaspan.operators.caches import picked_node
+
+    kind = "id string, healthy boolean, cooldown_until double, address string, load int, tls_fails int, successes int, fails int, latency double, g string"
+    base = ("a", True, None, "", 0, 0, 5, 0, 9.0)
+    at = lambda k, **more: tuple({**dict(zip(("id", "healthy", "cooldown_until", "address", "load", "tls_fails", "successes", "fails", "latency"), base, strict=True)), "id": k, **more}.values())
+    pairs = [  # the better one first
+        (at("z", address="p2", load=9), at("a")), (at("z"), at("a", load=1)), (at("z", address="p1"), at("a", address="p2")), (at("z"), at("a", tls_fails=1)), (at("z", successes=6), at("a")),
+        (at("z"), at("a", fails=1)), (at("z", latency=100.0), at("a", latency=None)), (at("z", latency=1.0), at("a")), (at("a"), at("b")), (at("z"), at("a", healthy=None)), (at("z"), at("a", cooldown_until=99.0)),
+    ]
+    rows = [(*x, str(i)) for i, p in enumerate(pairs) for x in p] + [(*at("out"), "none")]
+    got = {r.g: (r.id, r.load) for r in picked_node(spark.createDataFrame(rows, kind), ["g"], ["p1", "p2"], 50.0, ["out"]).collect()}
+    assert got == {str(i): (p[0][0], p[0][4] + 1) for i, p in enumerate(pairs)}
