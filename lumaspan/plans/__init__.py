@@ -1,5 +1,5 @@
 """Named queries over the dataset tables, one module per area."""
 
-from lumaspan.plans import changes, columns, evidence, neardup, pool, quality, relational, states, text
+from lumaspan.plans import changes, columns, evidence, neardup, pool, quality, relational, states, subscriptions, text
 
-MODULES = [changes, columns, evidence, neardup, relational, text, states, quality, pool]
+MODULES = [changes, columns, evidence, neardup, relational, text, states, quality, pool, subscriptions]
