@@ -3,9 +3,11 @@
 Words are runs of letters and digits (characters beyond ASCII are letters), lower-cased. A text's features are its
 shingles of ``shingle`` words with their counts (a shorter text is one shingle). For each length of benchmark items, in
 words, the windows of a document with as many words (the whole document if it is shorter) get a 64-bit SimHash of their
-weighted shingles. Fingerprints are cut into ``radius`` + 1 blocks: any two within ``radius`` bits agree in a block, so the
-blocks' tables give, as candidates, every item of that length within the radius. They are verified by the exact weighted
-Jaccard similarity (sum of smaller by sum of larger counts) of ``similarity`` or more.
+weighted shingles. Fingerprints are cut into ``BLOCKS`` blocks: any two within ``radius`` bits differ by at most
+``radius`` // ``BLOCKS`` bits in a block, so asking the blocks' tables for every value that near gives, as candidates, every item
+of that length within the radius (guaranteed), and of random fingerprints one in twenty. What a window asks for does not grow
+with the benchmark. Candidates are verified by the exact weighted Jaccard similarity (sum of smaller by sum of larger counts)
+of ``similarity`` or more.
 
 Windows that cannot reach that similarity with any item at all are not fingerprinted: a and b shingles need
 similarity / (1 + similarity) * (a + b) in common, and a window has at most as many in common with an item as it has
@@ -36,7 +38,8 @@ from lumaspan.tables import table
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 20
+RADIUS = 15
+BLOCKS = 4  # of 64 / BLOCKS bits
 BLOCK_BYTES = 8 << 20
 STRETCH = 1 << 14  # windows that are fingerprinted at once
 
@@ -72,9 +75,12 @@ class Index:
         texts = pa.array([t for _, t in items], pa.large_string())
         data, at = text_bytes(pc.utf8_lower(texts))
         self.ids, self.counts, self.prints, every = [], [], [], []
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}  # number of words -> for each block, its bits -> items
+        width = 64 // BLOCKS
+        self.shifts = [np.uint64(width * k) for k in range(BLOCKS)]
+        self.mask = np.uint64((1 << width) - 1)
+        every_bit = np.arange(1 << width, dtype=np.uint64)
+        self.near = every_bit[np.bitwise_count(every_bit) <= radius // BLOCKS]
+        lengths: dict[int, list[int]] = {}  # number of words -> items
         fold, is_word = ascii_fold(), letter_words()
         for k, (item, _) in enumerate(items):
             w = Words(data, at, k, k + 1, fold, is_word).hash
@@ -86,12 +92,20 @@ class Index:
             self.counts.append(Counter(s.tolist()))
             self.prints.append(f)
             every.append(s)
-            for tab, (sh, mask) in zip(self.tables.setdefault(len(w), [{} for _ in self.blocks]), self.blocks, strict=True):
-                tab.setdefault((f >> sh) & mask, []).append(n)
+            lengths.setdefault(len(w), []).append(n)
+        self.prints = np.array(self.prints, np.uint64)
+        #: number of words -> for each block: its values in order, where each one's items begin, and the items
+        self.tables = {length: [self.block_table(np.array(own), shift) for shift in self.shifts] for length, own in lengths.items()}
         self.shingles = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.shingles >> np.uint64(44)).astype(np.int64)] = True
 
+    def block_table(self, items: np.ndarray, shift: np.uint64):
+        bits = (self.prints[items] >> shift) & self.mask
+        order = np.argsort(bits, kind="stable")
+        values, first = np.unique(bits[order], return_index=True)
+        return values, np.append(first, len(items)), items[order]
+
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         """Where the benchmark has the shingle."""
         at = np.flatnonzero(self.table[(shingles >> np.uint64(44)).astype(np.int64)])
@@ -100,12 +114,16 @@ class Index:
 
     def candidates(self, words: int, fingerprint: int, radius: int) -> dict[int, int]:
         """The items of so many words within the radius, with their distance, by the blocks' tables."""
-        found = {}
-        for tab, (sh, mask) in zip(self.tables[words], self.blocks, strict=True):
-            for n in tab.get((fingerprint >> sh) & mask, ()):
-                if n not in found:
-                    found[n] = (fingerprint ^ self.prints[n]).bit_count()
-        return {n: bits for n, bits in found.items() if bits <= radius}
+        f, found = np.uint64(fingerprint), []
+        for (values, first, items), shift in zip(self.tables[words], self.shifts, strict=True):
+            asked = ((f >> shift) & self.mask) ^ self.near
+            at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+            found += [items[first[k] : first[k + 1]] for k in at[values[at] == asked]]
+        if not found:
+            return {}
+        items = np.unique(np.concatenate(found))
+        bits = np.bitwise_count(self.prints[items] ^ f)
+        return dict(zip(items[bits <= radius].tolist(), bits[bits <= radius].tolist(), strict=True))
 
 
 def window_prints(shingles: np.ndarray, starts: np.ndarray, width: int):

@@ -234,12 +234,34 @@ def test_decontamination_recall_against_all_windows(spark):
     got = {(r.doc_id, r.item_id) for r in decontamination.leaks(
         spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got <= want and len(want) > 60 and len(got) >= 0.97 * len(want)
-    # the tables alone give every item within the radius
-    index = decontamination.Index(items, 5, 20)
-    for f in [gen.getrandbits(64) for _ in range(50)] + [p ^ (1 << 5) ^ (1 << 40) for p in index.prints]:
+    # the tables alone give every item within the radius, and few others
+    radius, asked, offered = decontamination.RADIUS, 0, 0
+    index = decontamination.Index([*items, *((100 + i, " ".join(gen.choice(WORDS) + str(gen.randrange(99)) for _ in range(30))) for i in range(300))], 5, radius)
+    prints = [int(p) for p in index.prints]
+    flip = lambda p, n: p ^ sum(1 << k for k in gen.sample(range(64), n))
+    for f in [gen.getrandbits(64) for _ in range(50)] + [flip(p, n) for p in prints[:40] for n in (0, 2, radius, radius + 1)]:
         for length, tabs in index.tables.items():
-            own = {n for tab in tabs for held in tab.values() for n in held}
-            assert index.candidates(length, f, 20) == {n: (f ^ index.prints[n]).bit_count() for n in own if (f ^ index.prints[n]).bit_count() <= 20}
+            own = tabs[0][2].tolist()
+            assert index.candidates(length, f, radius) == {n: (f ^ prints[n]).bit_count() for n in own if (f ^ prints[n]).bit_count() <= radius}
+            if length == 30:
+                asked, offered = asked + len(own), offered + len(index.candidates(length, f, 64))
+    assert offered < 0.1 * asked
+
+
+def test_decontamination_recall_at_the_bound():
+    gen = np.random.default_rng(4)
+    hashes = lambda n: gen.integers(0, 1 << 62, n, dtype=np.uint64)
+    grams = lambda w: decontamination.shingles_of(w, 5)
+    for length in (15, 60, 120):
+        bits = []
+        for _ in range(2000):
+            w, k = hashes(length), int(gen.integers(1, length // 8 + 1))
+            v = np.concatenate([hashes(k), w[k:]] if gen.integers(2) else [w[k:], hashes(k)])
+            a, b = grams(w), grams(v)
+            if 0.8 <= decontamination.weighted_jaccard(collections.Counter(a.tolist()), collections.Counter(b.tolist())) <= 0.85:
+                p, q = (int(decontamination.fingerprints(decontamination.bit_signs(x).sum(axis=0, keepdims=True))[0]) for x in (a, b))
+                bits.append((p ^ q).bit_count())
+        assert len(bits) > 50 and np.mean(np.array(bits) <= decontamination.RADIUS) >= 0.95
 
 
 def test_quality_counts(docs, empty):
