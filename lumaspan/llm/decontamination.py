@@ -40,6 +40,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 15
 BLOCKS = 4  # of 64 / BLOCKS bits
+PROBES = 1 << 20  # values that are compared at once
 BLOCK_BYTES = 8 << 20
 STRETCH = 1 << 14  # windows that are fingerprinted at once
 
@@ -79,7 +80,8 @@ class Index:
         self.shifts = [np.uint64(width * k) for k in range(BLOCKS)]
         self.mask = np.uint64((1 << width) - 1)
         every_bit = np.arange(1 << width, dtype=np.uint64)
-        self.near = every_bit[np.bitwise_count(every_bit) <= radius // BLOCKS]
+        self.spread = radius // BLOCKS
+        self.near = every_bit[np.bitwise_count(every_bit) <= self.spread]
         lengths: dict[int, list[int]] = {}  # number of words -> items
         fold, is_word = ascii_fold(), letter_words()
         for k, (item, _) in enumerate(items):
@@ -112,28 +114,39 @@ class Index:
         k = np.minimum(np.searchsorted(self.shingles, shingles[at]), max(0, len(self.shingles) - 1))
         return at[self.shingles[k] == shingles[at]] if len(self.shingles) else at[:0]
 
-    def candidates(self, words: int, fingerprint: int, radius: int) -> dict[int, int]:
-        """The items of so many words within the radius, with their distance, by the blocks' tables."""
-        f, found = np.uint64(fingerprint), []
-        for (values, first, items), shift in zip(self.tables[words], self.shifts, strict=True):
-            asked = ((f >> shift) & self.mask) ^ self.near
-            at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
-            found += [items[first[k] : first[k + 1]] for k in at[values[at] == asked]]
-        if not found:
-            return {}
-        items = np.unique(np.concatenate(found))
-        bits = np.bitwise_count(self.prints[items] ^ f)
-        return dict(zip(items[bits <= radius].tolist(), bits[bits <= radius].tolist(), strict=True))
+    def pairs(self, words: int, prints: np.ndarray, radius: int):
+        """(window, item, distance) arrays of the items of so many words within the radius of each fingerprint, by the blocks' tables.
+
+        A block's values near a window's are found by asking for each value that near or, if the table has fewer, by comparing with each."""
+        step = max(1, PROBES // len(self.near))
+        for base in range(0, len(prints), step):
+            own, found = prints[base : base + step], []
+            for (values, first, items), shift in zip(self.tables[words], self.shifts, strict=True):
+                bits = (own >> shift) & self.mask
+                if len(values) <= len(self.near):
+                    w, k = np.nonzero(np.bitwise_count(bits[:, None] ^ values) <= self.spread)
+                else:
+                    asked = bits[:, None] ^ self.near
+                    at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+                    w, n = np.nonzero(values[at] == asked)
+                    k = at[w, n]
+                size = first[k + 1] - first[k]
+                within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                found.append(np.repeat(w, size) * len(self.prints) + items[np.repeat(first[k], size) + within])
+            w, n = np.divmod(np.unique(np.concatenate(found)), len(self.prints))
+            bits = np.bitwise_count(self.prints[n] ^ own[w])
+            good = bits <= radius
+            yield w[good] + base, n[good], bits[good]
 
 
 def window_prints(shingles: np.ndarray, starts: np.ndarray, width: int):
-    """(start, fingerprint) of the windows of ``width`` shingles from each start on, a stretch of neighbouring windows at a time."""
+    """(starts, fingerprints) of the windows of ``width`` shingles from each start on, a stretch of neighbouring windows at a time."""
     cut = np.flatnonzero((np.diff(starts) > width) | (np.diff(starts // STRETCH) > 0)) + 1
     for own in np.split(starts, cut):
         base, stop = own[0], own[-1] + width
         sums = np.zeros((stop - base + 1, 64), np.int32)
         np.cumsum(bit_signs(shingles[base:stop]), axis=0, out=sums[1:])
-        yield from zip(own.tolist(), fingerprints(sums[own - base + width] - sums[own - base]).tolist(), strict=True)
+        yield own, fingerprints(sums[own - base + width] - sums[own - base])
 
 
 def search(words: np.ndarray, index: Index, hits: np.ndarray, shingles: np.ndarray, k: int, similarity: float, radius: int):
@@ -150,13 +163,15 @@ def search(words: np.ndarray, index: Index, hits: np.ndarray, shingles: np.ndarr
         if upto[-1] < need:
             continue
         starts = np.flatnonzero(upto[width:] - upto[:-width] >= need)
-        for s, f in window_prints(shingles, starts, width) if len(starts) else ():
-            found = index.candidates(length, f, radius)
-            window = Counter(shingles[s : s + width].tolist()) if found else None
-            for n, bits in found.items():
-                sim = weighted_jaccard(index.counts[n], window)
-                if sim >= similarity and (n not in best or sim > best[n][2]):
-                    best[n] = (index.ids[n], s, sim, bits)
+        for own, prints in window_prints(shingles, starts, width) if len(starts) else ():
+            for at, items, bits in index.pairs(length, prints, radius):
+                last = None
+                for s, n, apart in zip(own[at].tolist(), items.tolist(), bits.tolist(), strict=True):
+                    if s != last:
+                        last, window = s, Counter(shingles[s : s + width].tolist())
+                    sim = weighted_jaccard(index.counts[n], window)
+                    if sim >= similarity and (n not in best or sim > best[n][2]):
+                        best[n] = (index.ids[n], s, sim, apart)
     return sorted(best.values())
 
 

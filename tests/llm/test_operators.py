@@ -242,10 +242,18 @@ def test_decontamination_recall_against_all_windows(spark):
     for f in [gen.getrandbits(64) for _ in range(50)] + [flip(p, n) for p in prints[:40] for n in (0, 2, radius, radius + 1)]:
         for length, tabs in index.tables.items():
             own = tabs[0][2].tolist()
-            assert index.candidates(length, f, radius) == {n: (f ^ prints[n]).bit_count() for n in own if (f ^ prints[n]).bit_count() <= radius}
+            got = lambda r: {n: bits for found in index.pairs(length, np.array([f, f], np.uint64), r) for w, n, bits in np.stack(found, 1).tolist() if w}
+            assert got(radius) == {n: (f ^ prints[n]).bit_count() for n in own if (f ^ prints[n]).bit_count() <= radius}
             if length == 30:
-                asked, offered = asked + len(own), offered + len(index.candidates(length, f, 64))
+                asked, offered = asked + len(own), offered + len(got(64))
     assert offered < 0.1 * asked
+    # a table of more values than are asked for
+    index.prints = np.random.default_rng(1).integers(0, 1 << 63, 3000, dtype=np.uint64)
+    index.tables = {7: [index.block_table(np.arange(3000), shift) for shift in index.shifts]}
+    asked = index.prints[:50] ^ np.uint64((1 << 3) | (1 << 20) | (1 << 40))
+    got = {(w, n) for found in index.pairs(7, asked, radius) for w, n, _ in np.stack(found, 1).tolist()}
+    assert len(index.tables[7][0][0]) > len(index.near) and len(got) >= 50
+    assert got == set(map(tuple, np.argwhere(np.bitwise_count(asked[:, None] ^ index.prints) <= radius).tolist()))
 
 
 def test_decontamination_recall_at_the_bound():
