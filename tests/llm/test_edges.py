@@ -144,6 +144,5 @@ def test_long_repeated_texts_lose_whole_runs(spark):
 
     text = "\n".join(f"line {i % 900} of {i}" for i in range(100_000))
     docs = spark.createDataFrame([(1, text), (2, "own line\n" + text)], "doc_id long, text string")
-    assert [tuple(r) for r in lines.removed_runs(docs).select("_key", "_start", "_end").collect()] == [(2, 1, 100_001)]
-    got = {r.doc_id: (r._n_lines, r._n_removed, len(r._kept_text)) for r in lines.dedup(docs).collect()}
-    assert got == {1: (100_000, 0, len(text)), 2: (100_001, 100_000, 8)}
+    got = {r.doc_id: (r._n_lines, r._n_removed, r._n_runs, r._longest_run, len(r._kept_text)) for r in lines.dedup(docs).collect()}
+    assert got == {1: (100_000, 0, 0, 0, len(text)), 2: (100_001, 100_000, 1, 100_000, 8)}

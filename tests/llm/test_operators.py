@@ -327,15 +327,30 @@ def test_shard_tree_splits_every_node_exactly(spark):
 
 
 def test_line_runs(spark):
-    rows = [(0, "a\nb\nc"), (1, "x\na\nb"), (2, "a\n\nb\ny"), (3, None), (4, ""), (5, "b"), (6, "long " * 50), (7, "z\n" + "long " * 50)]
-    got = {r.doc_id: (r._kept_text, r._n_removed) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {0: ("a\nb\nc", 0), 1: ("x", 2), 2: ("\ny", 2), 3: (None, 0), 4: ("", 0), 5: ("b", 0), 6: ("long " * 50, 0), 7: ("z", 1)}
+    long = "long " * 50
+    rows = [(0, "a\nb\nc"), (1, "x\na\nb"), (2, "a\n\nb\ny"), (3, None), (4, ""), (5, "b"), (6, long), (7, "z\n" + long), (8, f"a\n \nb\n{long}\nc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r._kept_text, r._n_removed, r._n_runs, r._longest_run) for r in lines.dedup(df).collect()}
+    same = {k: (t, 0, 0, 0) for k, t in rows}
+    assert got == same | {7: ("z", 1, 1, 1), 8: ("a\n \nb\nc", 1, 1, 1)}
+    got = {r.doc_id: (r._kept_text, r._n_removed, r._n_runs, r._longest_run) for r in lines.dedup(df, min_words=2).collect()}
+    assert got == same | {1: ("x", 2, 1, 2), 2: ("\ny", 2, 1, 2), 7: ("z", 1, 1, 1), 8: (" \nc", 3, 1, 3)}
+
+
+def test_shortest_runs():
+    gen = random.Random(4)
+    for _ in range(300):
+        words, least = [gen.randrange(1, 9) for _ in range(gen.randrange(12))], gen.randrange(1, 20)
+        first = lambda lengths, total: next((n for n in lengths if total(n) >= least), None)
+        after = [first(range(1, len(words) - i + 1), lambda n: sum(words[i : i + n])) for i in range(len(words))]
+        before = [first(range(1, i + 2), lambda n: sum(words[i + 1 - n : i + 1])) for i in range(len(words))]
+        assert lines.shortest_runs(words, least) == (after, before)
 
 
 def test_line_runs_of_all_lengths_against_brute_force(spark):
     gen = random.Random(8)
-    alphabet = [f"line {k}" for k in range(40)] + ["w " * 50 + str(k) for k in range(3)] + ["", " \t"]
-    pool = [[gen.choice(alphabet) for _ in range(n)] for n in range(1, 11)]
+    alphabet = [f"line {k}" for k in range(40)] + ["w " * 9 + str(k) for k in range(3)] + [str(k) for k in range(9)] + ["", " \t"]
+    pool = [[gen.choice(alphabet) for _ in range(n)] for n in range(1, 21)]
     texts = []
     for _ in range(50):
         t = [gen.choice(alphabet[:40]) + str(gen.randrange(30)) for _ in range(gen.randrange(6))]
@@ -344,26 +359,29 @@ def test_line_runs_of_all_lengths_against_brute_force(spark):
         texts.append("\n".join(t))
     rows = [(i, t) for i, t in enumerate([*texts, texts[3], None, ""])] + [(3, texts[3]), (None, texts[5]), (4, texts[6])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for least in (1, 2, 3):
-        docs = {(k, t): [x for x in (t or "").split("\n") if x.strip(" \t")] for k, t in rows}
-        place = lambda d: (d[0] is not None, d[0] or 0)
-        found = collections.defaultdict(list)
-        for d, own in docs.items():
-            for i in range(len(own)):
-                for n in range(least, len(own) - i + 1):
-                    found[tuple(own[i : i + n])].append((d, i))
-                if len(own[i].split()) >= 50:
-                    found[own[i],].append((d, i))
+    docs = {(k, t): [x for x in (t or "").split("\n") if x.strip(" \t")] for k, t in rows}
+    place = lambda d: (d[0] is not None, d[0] or 0)
+    found = collections.defaultdict(list)
+    for d, own in docs.items():
+        for i in range(len(own)):
+            for n in range(1, len(own) - i + 1):
+                found[tuple(own[i : i + n])].append((d, i))
+    removed = []
+    for least in (1, 7, 20):
         gone = collections.defaultdict(set)
-        for run, places in found.items():
-            for d, i in places:
-                if any((place(e), j) < (place(d), i) or (e != d and place(e) == place(d)) for e, j in places):
-                    gone[d] |= set(range(i, i + len(run)))
-        got = {(r.doc_id, r.text): (r._n_removed, r._kept_text) for r in lines.dedup(df, min_lines=least).collect()}
+        for run, places in found.items():  # every repeated run with enough words, whatever its length
+            if sum(len(x.split()) for x in run) >= least:
+                for d, i in places:
+                    if any((place(e), j) < (place(d), i) or (e != d and place(e) == place(d)) for e, j in places):
+                        gone[d] |= set(range(i, i + len(run)))
+        removed.append(sum(map(len, gone.values())))
+        got = {(r.doc_id, r.text): r for r in lines.dedup(df, min_words=least).collect()}
         for d, own in docs.items():
             if d[0] != 4:  # two texts of one key: the hash of the text decides which comes first
-                assert got[d][0] == len(gone[d]), (least, d)
+                stretches = "".join("x" if k in gone[d] else " " for k in range(len(own))).split()
+                assert (got[d]._n_removed, got[d]._n_runs, got[d]._longest_run) == (len(gone[d]), len(stretches), max(map(len, stretches), default=0)), (least, d)
                 kept = [x for k, x in enumerate(own) if k not in gone[d]]
-                assert [x for x in (got[d][1] or "").split("\n") if x.strip(" \t")] == kept
+                assert [x for x in (got[d]._kept_text or "").split("\n") if x.strip(" \t")] == kept
+    assert removed[0] > removed[1] > removed[2] > 0
     most = lines.intervals(df).groupBy("_n").count().collect()
-    assert {1, 2, 4, 8} <= {r._n for r in most}
+    assert {1, 2, 4, 8, 16} <= {r._n for r in most}
