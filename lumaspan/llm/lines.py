@@ -97,12 +97,16 @@ def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     return stored(repeated(rows, by).orderBy(*by).withColumn("_new", F.monotonically_increasing_id()))
 
 
-def rounds(lines: DataFrame, most: int | None = None) -> DataFrame:
+def first_round(lines: DataFrame) -> DataFrame:
+    """A row per line that repeats: _key, _h, _at, _n (1), _rank, _first (its first place), _copies, _after, _before. Only these are moved on."""
+    held = lines.join(small(ranked(lines, ["_name"])), "_name").dropDuplicates(PLACE)
+    return stored(held.select(*PLACE, F.lit(1).alias("_n"), F.col("_new").alias("_rank"), "_first", "_copies", "_after", "_before"))
+
+
+def rounds(first: DataFrame, most: int | None = None) -> DataFrame:
     """A row per suffix and round in which it shares its lines: _key, _h, _at, _n (lines, up to ``most``), _rank, _first (the interval's first place), _copies."""
-    kept = lambda rows, ranks, by, n: stored(
-        rows.join(small(ranks), by).select(*PLACE, F.lit(n).alias("_n"), F.col("_new").alias("_rank"), "_first", "_copies"))
-    once = lines.dropDuplicates(PLACE)
-    n, out = 1, [kept(once, ranked(once, ["_name"]), ["_name"], 1)]
+    columns = [*PLACE, "_n", "_rank", "_first", "_copies"]
+    n, out = 1, [first.select(*columns)]
     while most is None or 2 * n <= most:
         further = Window.partitionBy("_key", "_h").orderBy("_at").rangeBetween(n, n)
         pairs = stored(out[-1].select(*PLACE, "_rank", F.max("_rank").over(further).alias("_next")).where("_next is not null"))
@@ -110,7 +114,7 @@ def rounds(lines: DataFrame, most: int | None = None) -> DataFrame:
         if ranks.isEmpty():
             break
         n *= 2
-        out.append(kept(pairs, ranks, ["_rank", "_next"], n))
+        out.append(stored(pairs.join(small(ranks), ["_rank", "_next"]).select(*PLACE, F.lit(n).alias("_n"), F.col("_new").alias("_rank"), "_first", "_copies")))
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
@@ -119,17 +123,17 @@ def rounds(lines: DataFrame, most: int | None = None) -> DataFrame:
 
 def intervals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The intervals of the whole array: ``rounds`` of the documents' lines until no run repeats."""
-    return rounds(stored(line_rows(docs, key, text, MIN_WORDS)))
+    return rounds(first_round(stored(line_rows(docs, key, text, MIN_WORDS))))
 
 
 def removed_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """A row per maximal run of lines that a document loses: _key, _h, _start, _end (indices among its lines with words, the end not included)."""
-    lines = stored(line_rows(docs, key, text, min_words))
-    place = lines.select("_key", "_h", F.explode(F.array(
+    first = first_round(stored(line_rows(docs, key, text, min_words)))
+    place = first.select("_key", "_h", F.explode(F.array(
         F.struct(F.col("_at"), F.col("_after").alias("_n")), F.struct((F.col("_at") - F.col("_before") + 1).alias("_at"), F.col("_before").alias("_n")))).alias("_r"))
     asked = place.where("_r._n is not null").select("_key", "_h", "_r.*")
     most = asked.agg(F.max("_n")).first()[0] or 0
-    ranks = stored(rounds(lines, most).select(*PLACE, F.col("_n").alias("_of"), "_rank"))
+    ranks = stored(rounds(first, most).select(*PLACE, F.col("_n").alias("_of"), "_rank"))
     asked = asked.withColumn("_of", F.expr("cast(shiftleft(1, cast(floor(log2(_n) + 1e-9) as int)) as int)"))
     at = lambda rows, shift, name: rows.join(
         ranks.select(F.col("_key").alias("_k"), F.col("_h").alias("_g"), F.col("_at").alias("_p"), F.col("_of").alias("_o"), F.col("_rank").alias(name)),
