@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumaspan.functions import rules as R
@@ -20,6 +23,16 @@ def query(sql: str):
     return register
 
 
+def _spelled(df, *forms: str):
+    """A row for each form of each row: kind, id, the form's number, its text v. A form is an expression that Spark and DuckDB share."""
+    return df.select("kind", "id", F.posexplode(F.array(*map(F.expr, forms))).alias("form", "v"))
+
+
+def _spelled_sql(source: str, *forms: str) -> str:
+    texts = f"[{', '.join(forms)}]"
+    return f"(SELECT kind, id, CAST(generate_subscripts({texts}, 1) - 1 AS INT) AS form, unnest({texts}) AS v FROM ({source}))"
+
+
 def _marks(words) -> str:
     return "len(list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda m: contains(t, m))) > 0"
 
@@ -138,9 +151,17 @@ def word_lists(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(V.split_list(F.col("text"), 3, 1 << 30), lambda x: x), "|").alias("words"))
 
 
-@query("SELECT s_suppkey, replace(lower(s_name), '#', '_at_') AS key FROM supplier")
+# an account's name as people write it: marks around it, a blank in it, runs of marks, several at signs, blank, missing
+ACCOUNTS = ("' @' || replace(name, '#', ' -at_ ') || '- '", "'@' || replace(name, '#', ' ')", "' ' || replace(replace(name, '#', '__'), ' ', '__') || ' - ' || id || '_'", "'@@' || name", "''", "CAST(NULL AS STRING)")
+_NAMED = {"supplier": ("s_suppkey", "s_name"), "customer": ("c_custkey", "c_name"), "part": ("p_partkey", "p_name")}
+
+
+@query(r"SELECT kind, id, form, trim(regexp_replace(lower(ltrim(trim(v, ' '), '@')), '[ \t\n\x0B\f\r_-]+', '_', 'g'), '_') AS key FROM "
+       + _spelled_sql(" UNION ALL ".join(f"SELECT '{t}' AS kind, {k} AS id, {n} AS name FROM {t}" for t, (k, n) in _NAMED.items()), *ACCOUNTS))
 def identity_keys(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", V.identity_key(F.concat(F.lit(" @"), F.replace("s_name", F.lit("#"), F.lit(" -at_ ")), F.lit("- "))).alias("key"))
+    """Every supplier's, customer's and part's name as an account's, in every form."""
+    named = reduce(DataFrame.unionAll, (table(spark, sf, t).select(F.lit(t).alias("kind"), F.col(k).alias("id"), F.col(n).alias("name")) for t, (k, n) in _NAMED.items()))
+    return _spelled(named, *ACCOUNTS).select("kind", "id", "form", V.identity_key(F.col("v")).alias("key"))
 
 
 @query("""WITH c AS (SELECT c_custkey, c_mktsegment = 'MACHINERY' AS cpu, CAST(c_nationkey AS INT) AS n FROM customer)
