@@ -172,11 +172,25 @@ def resource_profiles(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", *(r[c].cast("int").alias(c) for c in ("workers", "decoders", "batch", "block")))
 
 
-@query("SELECT page_id, url || ' ' || 'https://second.example/' || page_id AS urls FROM pages")
+# lists of addresses: lines with a comment, the url again and a comma; the same short; bare hosts; a line of several urls; a comma inside a url; blank, missing
+_SECOND, _BARE = "'https://second.example/' || id", "split_part(url, '://', 2)"
+ADDRESS_LISTS = (
+    f"url || chr(10) || '# ' || url || chr(13) || chr(10) || url || ' ' || {_SECOND} || ',' || chr(10) || url", f"url || chr(10) || '# c' || chr(13) || chr(10) || {_SECOND} || ',' || chr(10) || chr(10) || url",
+    f"{_BARE} || ', h' || id || ';' || {_BARE} || '.second'", f"url || ' ' || {_SECOND} || '; ' || url || '#top,'", "url || '&x=1,' || id", "''", "CAST(NULL AS STRING)")
+_ADDRESSES = "SELECT 'page' AS kind, page_id AS id, url FROM pages UNION ALL SELECT 'part', p_partkey, 'https://' || replace(p_name, ' ', '-') || '.example/' || p_partkey FROM part"
+_URLS = r"regexp_extract_all(x, 'https?://[^ \t\n\x0B\f\r]+')"
+
+
+@query(rf"""WITH l AS (SELECT kind, id, form, list_filter(list_transform(string_split_regex(coalesce(v, ''), '\r\n|\r|\n'), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT starts_with(x, '#')) AS lines FROM {_spelled_sql(_ADDRESSES, *ADDRESS_LISTS)}),
+e AS (SELECT kind, id, form, list_filter(flatten(list_transform(lines, lambda x: CASE WHEN regexp_matches(x, '[,;]') AND NOT contains(split_part(x, ',', 1), '://') THEN list_transform(string_split_regex(x, '[,;]+'), lambda p: trim(p, ' '))
+  WHEN len(regexp_extract_all(x, 'https?://')) > 1 THEN list_transform({_URLS}, lambda u: regexp_replace(u, '[,;]+$', '')) ELSE [regexp_replace(x, '[,;]+$', '')] END)), lambda x: trim(x, ' ') <> '') AS all_urls FROM l)
+SELECT kind, id, form, coalesce(array_to_string(list_filter(all_urls, lambda x, i: list_position(all_urls, x) = i), ' '), '') AS urls FROM e""")
 def url_lists(spark, sf):
-    """Each page's url twice, a comment, and a second url with a comma."""
-    second = F.concat(F.lit("https://second.example/"), F.col("page_id").cast("string"))
-    return table(spark, sf, "pages").select("page_id", F.array_join(V.url_list(F.concat("url", F.lit("\n# "), "url", F.lit("\r\n"), "url", F.lit(" "), second, F.lit(",\n"), "url")), " ").alias("urls"))
+    """Each page's url, and an address made of each part's name, in every form of a list."""
+    pages = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "url")
+    made = F.concat(F.lit("https://"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".example/"), F.col("p_partkey").cast("string"))
+    parts = table(spark, sf, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), made.alias("url"))
+    return _spelled(pages.unionAll(parts), *ADDRESS_LISTS).select("kind", "id", "form", F.array_join(V.url_list(F.col("v")), " ").alias("urls"))
 
 
 @query("SELECT event_id, '***' AS secret, event_type || ' ?token=*** #1' AS note FROM events")

@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 ROWS = {
     "supplier": ("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", [(7, "A#1", 2, 1.0), (8, None, 3, 1.0), (9, " @B -_c@", None, 1.0), (10, "", 1, 1.0)]),
     "customer": ("c_custkey long, c_name string", [(7, "C\t#d"), (None, "_E_")]),
+    "pages": ("page_id long, url string", [(7, "http://h.example/a?b=1"), (8, None), (9, "no address, here; or"), (10, " #c"), (11, "x\r\n,;\n https://a.b/;")]),
     "part": ("p_partkey long, p_name string", [(7, "hot  bolt"), (8, None), (9, "-")]),
 }
 
@@ -45,3 +46,16 @@ def test_identity_keys_of_all_names_in_all_forms(spark, odd):
     assert [keys["part", 7, f] for f in range(6)] == ["hot_bolt", "hot_bolt", "hot_bolt_7", "hot_bolt", "", None]
     assert [keys["supplier", 8, f] for f in range(6)] == [None, None, None, None, "", None]
     assert len(got) == 6 * 9
+
+
+def test_url_lists_of_pages_and_parts_in_all_forms(spark, odd):
+    got = result(spark, SF, "url_lists")
+    assert len(got) == 7 * sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("pages", "part"))
+    assert got == by_sql(SF, "url_lists")
+    got = result(spark, odd, "url_lists")
+    assert got == by_sql(odd, "url_lists") and len(got) == 7 * 8
+    lists = {(kind, k, form): urls for kind, k, form, urls in got}
+    u, second = "http://h.example/a?b=1", "https://second.example/7"
+    assert [lists["page", 7, f] for f in range(7)] == [f"{u} {second}", f"{u} {second}", "h.example/a?b=1 h7 h.example/a?b=1.second", f"{u} {second} {u}#top", f"{u}&x=1,7", "", ""]
+    assert lists["part", 7, 1] == "https://hot--bolt.example/7 https://second.example/7"
+    assert [lists["page", 8, f] for f in range(7)] == [""] * 7
