@@ -208,10 +208,16 @@ def endpoint_marks(spark, sf):
     return s.select("s_suppkey", R.country_of(line).alias("country"), R.session_seconds(line).alias("seconds"), R.masked_endpoint(line).alias("masked"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN CAST(s_suppkey * 60 AS INT) END AS seconds FROM supplier")
+# a supplier's endpoint: a mark by its nation (every other one is none), the long mark, the short one with an underscore, bare, with two hyphens; none; the long one without minutes before the short one
+MINUTES = ("name || CASE WHEN nation % 2 = 0 THEN '-TIME_' ELSE '-tide_' END || id || '-y'", "name || '-sessTime-' || id", "name || '-x-TIME_' || id || '-y'", "name || '-time' || id", "name || '-time--' || id", "name || '-none'", "name || '-sesstime-x time-' || id")
+
+
+@query("SELECT id AS s_suppkey, form, CAST(coalesce(nullif(regexp_extract(lower(v), 'sesstime-([0-9]+)', 1), ''), nullif(regexp_extract(lower(v), 'time[-_]?([0-9]+)', 1), '')) AS INT) * 60 AS seconds FROM "
+       + _spelled_sql("SELECT 'supplier' AS kind, s_suppkey AS id, s_name AS name, s_nationkey AS nation FROM supplier", *MINUTES))
 def endpoint_minutes(spark, sf):
-    mark = F.when(F.col("s_nationkey") % 2 == 0, "-TIME_").otherwise("-tide_")
-    return table(spark, sf, "supplier").select("s_suppkey", R.session_seconds(F.concat("s_name", mark, F.col("s_suppkey").cast("string"), F.lit("-y"))).alias("seconds"))
+    """Every supplier's endpoint in every form of its minutes."""
+    s = table(spark, sf, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    return _spelled(s, *MINUTES).select(F.col("id").alias("s_suppkey"), "form", R.session_seconds(F.col("v")).alias("seconds"))
 
 
 @query("SELECT page_id, 'from ' || replace(url, '://', '://***@') || ' and ' || url AS text FROM pages")

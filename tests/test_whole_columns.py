@@ -7,7 +7,7 @@ from lumaspan.plans import columns
 
 SF = "/root/testdata/sf0.001"
 ROWS = {
-    "supplier": ("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", [(7, "A#1", 2, 1.0), (8, None, 3, 1.0), (9, " @B -_c@", None, 1.0), (10, "", 1, 1.0)]),
+    "supplier": ("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", [(7, "A#1", 2, 1.0), (8, None, 3, 1.0), (9, " @B -_c@", None, 1.0), (10, "", 1, 1.0), (11, "Time_3#", 4, 1.0)]),
     "customer": ("c_custkey long, c_name string", [(7, "C\t#d"), (None, "_E_")]),
     "pages": ("page_id long, url string", [(7, "http://h.example/a?b=1"), (8, None), (9, "no address, here; or"), (10, " #c"), (11, "x\r\n,;\n https://a.b/;")]),
     "part": ("p_partkey long, p_name string", [(7, "hot  bolt"), (8, None), (9, "-")]),
@@ -45,7 +45,7 @@ def test_identity_keys_of_all_names_in_all_forms(spark, odd):
     assert [keys["supplier", 7, f] for f in range(6)] == ["a_at_1", "a_1", "a_1_7", "a#1", "", None]
     assert [keys["part", 7, f] for f in range(6)] == ["hot_bolt", "hot_bolt", "hot_bolt_7", "hot_bolt", "", None]
     assert [keys["supplier", 8, f] for f in range(6)] == [None, None, None, None, "", None]
-    assert len(got) == 6 * 9
+    assert len(got) == 6 * 10
 
 
 def test_url_lists_of_pages_and_parts_in_all_forms(spark, odd):
@@ -59,3 +59,16 @@ def test_url_lists_of_pages_and_parts_in_all_forms(spark, odd):
     assert [lists["page", 7, f] for f in range(7)] == [f"{u} {second}", f"{u} {second}", "h.example/a?b=1 h7 h.example/a?b=1.second", f"{u} {second} {u}#top", f"{u}&x=1,7", "", ""]
     assert lists["part", 7, 1] == "https://hot--bolt.example/7 https://second.example/7"
     assert [lists["page", 8, f] for f in range(7)] == [""] * 7
+
+
+def test_endpoint_minutes_of_all_suppliers_in_all_forms(spark, odd):
+    got = result(spark, SF, "endpoint_minutes")
+    assert len(got) == 7 * spark.read.parquet(f"{SF}/supplier.parquet").count()
+    assert got == by_sql(SF, "endpoint_minutes")
+    got = result(spark, odd, "endpoint_minutes")
+    assert got == by_sql(odd, "endpoint_minutes") and len(got) == 7 * 5
+    seconds = {(k, form): x for k, form, x in got}
+    assert [seconds[7, f] for f in range(7)] == [420, 420, 420, 420, None, None, 420]
+    assert [seconds[8, f] for f in range(7)] == [None] * 7
+    assert (seconds[9, 0], seconds[9, 1], seconds[10, 0]) == (None, 540, None)
+    assert [seconds[11, f] for f in (0, 1, 5)] == [180, 660, 180]
