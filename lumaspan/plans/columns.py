@@ -220,10 +220,21 @@ def endpoint_minutes(spark, sf):
     return _spelled(s, *MINUTES).select(F.col("id").alias("s_suppkey"), "form", R.session_seconds(F.col("v")).alias("seconds"))
 
 
-@query("SELECT page_id, 'from ' || replace(url, '://', '://***@') || ' and ' || url AS text FROM pages")
+# texts with a url: with user info and without; user info beside an at sign in a path; no url; no scheme; a scheme without a letter; an at sign in the path; missing; an entry of the pool that has a slash in its user info
+_HOST, _ODD = "split_part(url, '://', 2)", "socks5://odd/name:pw@h:9"
+MESSAGES = (
+    "'from ' || replace(url, '://', '://some:one@') || ' and ' || url", "replace(url, '://', '://u:p@') || ' and https://x@y/z@w'", f"'no url ' || {_HOST} || ' a@b'", f"'://u@' || {_HOST}", f"'1://u@' || {_HOST}",
+    "'a ' || url || '/p@q b'", "CAST(NULL AS STRING)", f"'pool {_ODD} end ' || url")
+_ENDPOINTS = "SELECT 'page' AS kind, page_id AS id, url FROM pages UNION ALL SELECT 'supplier', s_suppkey, 'https://' || replace(s_name, '#', '-') || '.example:80/' FROM supplier"
+
+
+@query(rf"SELECT kind, id, form, regexp_replace(replace(v, '{_ODD}', 'socks5://***@h:9'), '([A-Za-z0-9+.-]*[A-Za-z][A-Za-z0-9+.-]*://)[^/@ \t\n\x0B\f\r]+@', '\1***@', 'g') AS text FROM {_spelled_sql(_ENDPOINTS, *MESSAGES)}")
 def masked_endpoints(spark, sf):
-    """Each page's url with user info, and without."""
-    return table(spark, sf, "pages").select("page_id", R.masked_endpoint(F.concat(F.lit("from "), F.replace("url", F.lit("://"), F.lit("://some:one@")), F.lit(" and "), F.col("url"))).alias("text"))
+    """Each page's url, and each supplier's endpoint, in every form of a message."""
+    pages = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "url")
+    made = F.concat(F.lit("https://"), F.replace("s_name", F.lit("#"), F.lit("-")), F.lit(".example:80/"))
+    suppliers = table(spark, sf, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), made.alias("url"))
+    return _spelled(pages.unionAll(suppliers), *MESSAGES).select("kind", "id", "form", R.masked_endpoint(F.col("v"), (_ODD,)).alias("text"))
 
 
 def _pass(text: str, pattern: str, kept: str) -> str:

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 ROWS = {
     "supplier": ("s_suppkey long, s_name string, s_nationkey int, s_acctbal double", [(7, "A#1", 2, 1.0), (8, None, 3, 1.0), (9, " @B -_c@", None, 1.0), (10, "", 1, 1.0), (11, "Time_3#", 4, 1.0)]),
     "customer": ("c_custkey long, c_name string", [(7, "C\t#d"), (None, "_E_")]),
-    "pages": ("page_id long, url string", [(7, "http://h.example/a?b=1"), (8, None), (9, "no address, here; or"), (10, " #c"), (11, "x\r\n,;\n https://a.b/;")]),
+    "pages": ("page_id long, url string", [(7, "http://h.example/a?b=1"), (8, None), (9, "no address, here; or"), (10, " #c"), (11, "x\r\n,;\n https://a.b/;"), (12, "ftp://a@b@c x://y://z@d")]),
     "part": ("p_partkey long, p_name string", [(7, "hot  bolt"), (8, None), (9, "-")]),
 }
 
@@ -53,7 +53,7 @@ def test_url_lists_of_pages_and_parts_in_all_forms(spark, odd):
     assert len(got) == 7 * sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("pages", "part"))
     assert got == by_sql(SF, "url_lists")
     got = result(spark, odd, "url_lists")
-    assert got == by_sql(odd, "url_lists") and len(got) == 7 * 8
+    assert got == by_sql(odd, "url_lists") and len(got) == 7 * 9
     lists = {(kind, k, form): urls for kind, k, form, urls in got}
     u, second = "http://h.example/a?b=1", "https://second.example/7"
     assert [lists["page", 7, f] for f in range(7)] == [f"{u} {second}", f"{u} {second}", "h.example/a?b=1 h7 h.example/a?b=1.second", f"{u} {second} {u}#top", f"{u}&x=1,7", "", ""]
@@ -72,3 +72,18 @@ def test_endpoint_minutes_of_all_suppliers_in_all_forms(spark, odd):
     assert [seconds[8, f] for f in range(7)] == [None] * 7
     assert (seconds[9, 0], seconds[9, 1], seconds[10, 0]) == (None, 540, None)
     assert [seconds[11, f] for f in (0, 1, 5)] == [180, 660, 180]
+
+
+def test_masked_endpoints_of_pages_and_suppliers_in_all_forms(spark, odd):
+    got = result(spark, SF, "masked_endpoints")
+    assert len(got) == 8 * sum(spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("pages", "supplier"))
+    assert got == by_sql(SF, "masked_endpoints")
+    got = result(spark, odd, "masked_endpoints")
+    assert got == by_sql(odd, "masked_endpoints") and len(got) == 8 * 11
+    texts = {(kind, k, form): x for kind, k, form, x in got}
+    assert [texts["page", 7, f] for f in range(8)] == [
+        "from http://***@h.example/a?b=1 and http://h.example/a?b=1", "http://***@h.example/a?b=1 and https://***@y/z@w", "no url h.example/a?b=1 a@b", "://u@h.example/a?b=1", "1://u@h.example/a?b=1",
+        "a http://h.example/a?b=1/p@q b", None, "pool socks5://***@h:9 end http://h.example/a?b=1"]
+    assert texts["supplier", 7, 0] == "from https://***@A-1.example:80/ and https://A-1.example:80/"
+    assert texts["page", 12, 5] == "a ftp://***@b@c x://y://***@d/p@q b"
+    assert [texts["page", 8, f] for f in range(8)] == [None] * 8
