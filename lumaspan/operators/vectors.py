@@ -12,8 +12,9 @@ from lumaspan.operators.storage import stored
 def median_sign_hash(vector: Column) -> Column:
     """64 bits, first value highest: is it above the median of the values but the first. A signed long."""
     v = F.transform(vector, lambda x: x.cast("double"))
-    rest = F.array_sort(F.slice(v, 2, 63))
-    return F.aggregate(v, F.lit(0).cast("long"), lambda a, x: F.call_function("shiftleft", a, F.lit(1)).bitwiseOR((x > F.get(rest, F.lit(31))).cast("long")))
+    median = F.get(F.sort_array(F.slice(v, 2, 63)), F.lit(31))
+    bits = lambda m: F.aggregate(v, F.lit(0).cast("long"), lambda a, x: F.call_function("shiftleft", a, F.lit(1)).bitwiseOR((x > m).cast("long")))
+    return F.get(F.transform(F.array(median), bits), F.lit(0))  # the values are sorted once, not for each of them
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -25,33 +26,42 @@ def hash_classes(df: DataFrame, key: str, hash_: str) -> DataFrame:
     return df.groupBy(F.col(hash_).alias("h")).agg(F.min(key).alias("rep"), F.count("*").alias("members"))
 
 
-def hamming_class_pairs(classes: DataFrame, radius: int, block: int = metric.BLOCK) -> DataFrame:
-    """Pairs (a, b, distance) of the classes' reps, a < b, within the radius; classes: h (distinct), rep.
+def hamming_class_pairs(classes: DataFrame, radius: int, block: int | None = None, copied: bool = False) -> DataFrame:
+    """Pairs (a, b, distance) of the classes' reps, a < b, within the radius; classes: h (distinct), rep, and members for ``copied``, which adds a
+    flag mark: one of the two has several members.
 
     Up to 7 bits the hash is cut into radius + 1 bands, one of which two such hashes share (pigeonhole): an equi join. Wider radii have
     no selective bands: a range join over metric cells."""
-    base = classes.where("h is not null and rep is not null").select(F.col("rep").alias("id"), F.col("h").alias("x"))
+    mark = [(F.col("members") > 1).alias("mark")] if copied else []
+    base = classes.where("h is not null and rep is not null").select(F.col("rep").alias("id"), F.col("h").alias("x"), *mark)
     if radius > 7:
-        return metric.range_pairs(base, metric.Bits, radius, block).select("a", "b", F.col("distance").cast("int").alias("distance"))
+        return metric.range_pairs(base, metric.Bits, radius, block).withColumn("distance", F.col("distance").cast("int"))
     edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
     parts = F.array(*(F.shiftrightunsigned("x", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1)) for a, b in zip(edges[:-1], edges[1:], strict=True)))
-    left = base.select(F.col("id").alias("a"), F.col("x").alias("ha"), F.posexplode(parts).alias("k", "v"))
-    right = base.select(F.col("id").alias("b"), F.col("x").alias("hb"), F.posexplode(parts).alias("k", "v"))
+    side = lambda n: base.select(F.col("id").alias(n), F.col("x").alias(f"h{n}"), *([F.col("mark").alias(f"m{n}")] if copied else []), F.posexplode(parts).alias("k", "v"))
     distance = hamming(F.col("ha"), F.col("hb"))
-    return left.join(right, ["k", "v"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance")).distinct()
+    either = [(F.col("ma") | F.col("mb")).alias("mark")] if copied else []
+    return side("a").join(side("b"), ["k", "v"]).where((F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance"), *either).distinct()
 
 
-def hamming_pairs(df: DataFrame, key: str, hash_: str, radius: int, block: int = metric.BLOCK) -> DataFrame:
-    """Pairs (a, b, distance), a < b, within the radius, copies in all pairs. Components need only the classes' pairs."""
+def hamming_pairs(df: DataFrame, key: str, hash_: str, radius: int, block: int | None = None) -> DataFrame:
+    """Pairs (a, b, distance), a < b, within the radius, copies in all pairs. Components need only the classes' pairs.
+
+    Pairs are many more than rows, which the optimizer cannot know of a Python function: they are joined only where a class has copies, and by
+    sorting, never by sending them to the driver as the side that looks small."""
     rows = stored(df.select(F.col(key).alias("id"), F.col(hash_).alias("h")).where("h is not null"))
     classes = stored(hash_classes(rows, "id", "h"))
-    near = hamming_class_pairs(classes, radius, block)
-    named = rows.join(classes.where("members > 1").select("h", "rep"), "h", "left").select(F.coalesce("rep", "id").alias("rep"), "id")
-    x, y = named.select(F.col("rep").alias("a"), F.col("id").alias("ia")), named.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
-    far = near.join(x, "a").join(y, "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "distance")
-    copies = rows.join(classes.where("members > 1").select("h"), "h")
+    several = classes.where("members > 1").select("h", "rep")
+    near = hamming_class_pairs(classes, radius, block, copied=True)
+    if several.isEmpty():
+        return near.select("a", "b", "distance")
+    near = stored(near)
+    copies = stored(rows.join(several, "h"))
+    x, y = copies.select(F.col("rep").alias("a"), F.col("id").alias("ia")), copies.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
+    spread = near.where("mark").hint("merge").join(x, "a", "left").hint("merge").join(y, "b", "left").select("distance", F.coalesce("ia", "a").alias("a"), F.coalesce("ib", "b").alias("b"))
     same = copies.select("h", F.col("id").alias("a")).join(copies.select("h", F.col("id").alias("b")), "h").where("a < b")
-    return far.unionByName(same.select("a", "b", F.lit(0).alias("distance")))
+    return near.where("NOT mark").select("a", "b", "distance").unionByName(spread.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")).unionByName(
+        same.select("a", "b", F.lit(0).alias("distance")))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -86,7 +96,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(root, F.col("id") == F.col("_node"), "left").select("id", F.coalesce("_root", "id").alias("label"))
 
 
-def hamming_components(df: DataFrame, key: str, hash_: str, radius: int, block: int = metric.BLOCK) -> DataFrame:
+def hamming_components(df: DataFrame, key: str, hash_: str, radius: int, block: int | None = None) -> DataFrame:
     """id and label, the least key that is reached by pairs within the radius; links run between classes of equal hash."""
     rows = stored(df.select(F.col(key).alias("id"), F.col(hash_).alias("h")))
     classes = stored(hash_classes(rows.where("h is not null"), "id", "h"))

@@ -74,3 +74,21 @@ def test_empty_frames(spark):
     none = spark.createDataFrame([], "id long, h long")
     assert hamming_pairs(none, "id", "h", 20).count() == 0
     assert cosine_topk(spark.createDataFrame([], "id long, v array<double>"), "id", "v", 3, 0.0).count() == 0
+
+
+def test_pairs_are_never_the_side_that_is_broadcast(spark):
+    """Pairs within a wide radius are many times the rows, but look as small as the rows they come from."""
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    distinct, copies = np.unique(clustered(300, 3, 5)), np.concatenate([clustered(300, 3, 5), np.repeat(np.uint64(9), 20)])
+    got = hamming_pairs(frame(spark, distinct), "id", "h", 20)
+    assert "Join" not in plan(got) and got.count() > 10 * len(distinct)
+    assert "BuildLeft" not in plan(hamming_pairs(frame(spark, copies), "id", "h", 20))
+
+
+def test_pairs_come_in_batches(spark, monkeypatch):
+    h = clustered(200, 1, 6)
+    monkeypatch.setattr(metric, "BATCH", 50)
+    monkeypatch.setattr(metric, "TILE", 30)
+    d = np.bitwise_count(h[:, None] ^ h[None, :])
+    want = {(i, j, int(d[i, j])) for i, j in zip(*np.nonzero(d <= 20), strict=True) if i < j}
+    assert {tuple(r) for r in hamming_pairs(frame(spark, h), "id", "h", 20).collect()} == want
