@@ -68,10 +68,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_topk(df: DataFrame, key: str, vector: str, k: int, floor: float, block: int = metric.BLOCK) -> DataFrame:
+def cosine_topk(df: DataFrame, key: str, vector: str, k: int, floor: float, block: int | None = None) -> DataFrame:
     """Directed neighbours (a, b, similarity): the k best other rows of each row by the cosine of their vectors, at the floor or above; ties by key.
-    Vectors need not have unit length; those of length 0 have similarity 0 with all, null ones take no part."""
-    rows = df.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("x")).where("x is not null and id is not null")
+    Vectors need not have unit length; those of length 0 have similarity 0 with all, null ones and those with a value that is missing or not
+    finite take no part."""
+    kept = df.where(F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))).where(F.col(key).isNotNull())
+    x = F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else F.transform(vector, lambda x: x.cast("double"))
+    rows = kept.select(F.col(key).alias("id"), x.alias("x"))
     return metric.nearest(rows, k, floor, block)
 
 

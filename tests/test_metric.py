@@ -92,3 +92,25 @@ def test_pairs_come_in_batches(spark, monkeypatch):
     d = np.bitwise_count(h[:, None] ^ h[None, :])
     want = {(i, j, int(d[i, j])) for i, j in zip(*np.nonzero(d <= 20), strict=True) if i < j}
     assert {tuple(r) for r in hamming_pairs(frame(spark, h), "id", "h", 20).collect()} == want
+
+
+@pytest.mark.parametrize("floor", [-1.0, 0.1])
+def test_nearest_by_panels_of_broadcast_blocks(spark, monkeypatch, floor):
+    """Blocks come to the rows, a panel at a time: nothing is shuffled by pairs of blocks. Copies of a vector and rows with a value that is not finite hide nobody."""
+    monkeypatch.setattr(metric, "BLOCK", 25)
+    monkeypatch.setattr(metric, "MAX_BLOCK", 25)
+    monkeypatch.setattr(metric, "PANEL_BYTES", 6000)
+    monkeypatch.setattr(metric, "sent", None)
+    gen = np.random.default_rng(8)
+    v = np.concatenate([gen.normal(size=(160, 6)), np.repeat(gen.normal(size=(1, 6)), 50, axis=0), np.zeros((3, 6))]).astype(np.float32)
+    df = spark.createDataFrame([(i * 7 % 213, x.tolist()) for i, x in enumerate(v)] + [(900, [float("nan")] * 6), (901, [float("inf")] * 6)], "id long, v array<float>")
+    got = cosine_topk(df, "id", "v", 4, floor)
+    assert "Exchange" not in got._jdf.queryExecution().sparkPlan().toString()
+    x = v.astype(np.float64)
+    x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    names = np.arange(len(v)) * 7 % 213
+    s, want = np.round(np.einsum("ik,jk->ij", x, x), 6), set()
+    for i in range(len(v)):
+        best = [j for j in np.lexsort((names, -s[i])) if j != i][:4]
+        want |= {(int(names[i]), int(names[j]), float(s[i, j])) for j in best if s[i, j] >= floor}
+    assert {tuple(r) for r in got.collect()} == want
