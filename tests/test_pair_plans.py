@@ -12,3 +12,8 @@ def plan(spark, name):
 def test_gate_joins_pairs_once_and_broadcasts_none(spark):
     p = plan(spark, "cheap_gate")
     assert "BroadcastHashJoin" not in p and p.count("SortMergeJoin") == 1
+
+
+def test_classification_joins_pairs_once_and_broadcasts_none(spark):
+    p = plan(spark, "pair_classification")
+    assert "BroadcastHashJoin" not in p and p.count("SortMergeJoin") == 1
