@@ -85,12 +85,14 @@ def cosine_pairs(directed: DataFrame, mutual: bool) -> DataFrame:
 
 
 def merge_candidates(sources: dict[str, DataFrame]) -> DataFrame:
-    """Pairs of several sources with the sorted, joined names of those that found them."""
-    out = None
+    """Pairs of several sources (63 at most) with the sorted, joined names of those that found them. A bit stands for each source, so that a
+    pair takes a few bytes while it is merged."""
+    names, out = sorted(sources), None
     for name, df in sources.items():
-        part = df.select("a", "b", F.lit(name).alias("source"))
+        part = df.select("a", "b", F.lit(1 << names.index(name)).cast("long").alias("bits"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"))
+    found = F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0, name) for i, name in enumerate(names))))
+    return out.groupBy("a", "b").agg(F.bit_or("bits").alias("bits")).select("a", "b", F.array_join(found, ", ").alias("sources"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -17,3 +17,8 @@ def test_gate_joins_pairs_once_and_broadcasts_none(spark):
 def test_classification_joins_pairs_once_and_broadcasts_none(spark):
     p = plan(spark, "pair_classification")
     assert "BroadcastHashJoin" not in p and p.count("SortMergeJoin") == 1
+
+
+def test_provenance_merges_by_bits(spark):
+    p = plan(spark, "candidate_provenance")
+    assert "Join" not in p and "ObjectHashAggregate" not in p and "collect_set" not in p
