@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import struct
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,23 +40,33 @@ def standard_tables() -> tuple[list[int], list[int]]:
     return [int(x) for x in LUMINANCE.split()], chroma
 
 
+def expected_tables(base: list[int]) -> list[list[float]]:
+    """A standard table as an encoder scales it for each quality from 1 to 100."""
+    def scaled(q: int) -> list[float]:
+        scale = struct.unpack("f", struct.pack("f", 5000.0 / q))[0] if q < 50 else 200.0 - 2 * q  # an encoder's single precision
+        return [min(255.0, max(1.0, float(math.floor((b * scale + 50) / 100)))) for b in base]
+
+    return [scaled(q) for q in range(1, 101)]
+
+
 def jpeg_quality(tables: Column) -> Column:
     """quality (1 to 100, the first of the nearest), error and quant_mean of an array of quantisation tables in the order of their ids.
 
-    Tables of fewer than 64 values do not count; without any all are null. Sums are exact, so that nearest tables tie as they should."""
+    Tables of fewer than 64 values do not count; without any all are null. Sums are exact, so that nearest tables tie as they should. The
+    expected tables are constants."""
     kept = F.transform(F.filter(tables, lambda t: F.size(t) >= 64), lambda t: F.slice(t, 1, 64))
-    luma, chroma = (F.array(*map(F.lit, t)) for t in standard_tables())
-
-    def expected(q: Column, base: Column) -> Column:
-        scale = F.when(q < 50, (F.lit(5000.0) / q).cast("float")).otherwise(F.lit(200.0) - 2 * q)
-        return F.transform(base, lambda b: F.least(F.lit(255.0), F.greatest(F.lit(1.0), F.floor((b * scale + 50) / 100).cast("double"))))
-
+    luma, chroma = (F.array(*(F.array(*map(F.lit, t)) for t in expected_tables(base))) for base in standard_tables())
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
     off = lambda t, want: total(F.zip_with(t, want, lambda a, b: F.abs(a - b))) / 64
-    errors = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda q: total(F.transform(
-        kept, lambda t, i: F.when(i == 0, off(t, expected(q, luma))).otherwise(off(t, expected(q, chroma))))) / F.size(kept))
-    mean = total(F.transform(F.flatten(kept), lambda x: x.cast("double"))) / (64 * F.size(kept))
-    return F.when(F.size(kept) > 0, F.struct(F.array_position(errors, F.array_min(errors)).cast("int").alias("quality"), F.round(F.array_min(errors), 6).alias("error"), F.round(mean, 6).alias("quant_mean")))
+
+    def found(kept: Column) -> Column:
+        errors = F.transform(luma, lambda want, q: total(F.transform(kept, lambda t, i: F.when(i == 0, off(t, want)).otherwise(off(t, F.get(chroma, q))))) / F.size(kept))
+        mean = total(F.transform(F.flatten(kept), lambda x: x.cast("double"))) / (64 * F.size(kept))
+        best = lambda e: F.struct(F.array_position(e, F.array_min(e)).cast("int").alias("quality"), F.round(F.array_min(e), 6).alias("error"), F.round(mean, 6).alias("quant_mean"))
+        return F.get(F.transform(F.array(errors), best), F.lit(0))
+
+    # tables and errors are each computed once a row: in a lambda they are values, not expressions to be computed again
+    return F.get(F.transform(F.filter(F.array(kept), lambda k: F.size(k) > 0), found), F.lit(0))
 
 
 def review_score(similar: Column, blocks: Column) -> Column:

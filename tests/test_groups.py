@@ -1,6 +1,7 @@
 """Groups, anchors, quality rules and joins of vectors against plain-Python versions."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,16 @@ def test_jpeg_quality_takes_the_first_of_the_nearest(spark):
     assert got[200] is None and got[201] is None and got[202] is None and got[75].error == 0
 
 
+def test_jpeg_quality_of_many_rows_takes_seconds(spark):
+    """The expected tables are constants, and errors are summed once for a row."""
+    luma, chroma = (F.element_at(F.array(*(F.array(*map(F.lit, t)) for t in Q.expected_tables(b))), F.col("q")) for b in Q.standard_tables())
+    df = spark.range(2000).select((F.col("id") % 94 + 5).cast("int").alias("q")).select("q", F.array(luma, chroma).alias("t")).repartition(4)
+    began = time.monotonic()
+    got = df.select("q", Q.jpeg_quality(F.col("t")).alias("f")).select("q", "f.quality", "f.error").collect()
+    assert len(got) == 2000 and all(r.q == r.quality and r.error == 0 for r in got)
+    assert time.monotonic() - began < 30  # more than a minute where each error was computed from its formula
+
+
 def test_manifest_order_over_many_stretches(spark):
     df = spark.range(500).select((F.col("id") % 2).alias("root"), F.when(F.col("id") % 3 == 0, "single").otherwise("duplicate").alias("kind"), F.concat(F.lit("P"), F.pmod(F.col("id") * 37, F.lit(500)).cast("string")).alias("path"))
     got = {(r.root, r.path): r.ordinal for r in S.in_manifest_order(df.repartition(7), "root", "kind", "path", {"duplicate": 0, "single": 2}, span=8).collect()}
