@@ -22,3 +22,9 @@ def test_classification_joins_pairs_once_and_broadcasts_none(spark):
 def test_provenance_merges_by_bits(spark):
     p = plan(spark, "candidate_provenance")
     assert "Join" not in p and "ObjectHashAggregate" not in p and "collect_set" not in p
+
+
+def test_mutual_neighbours_are_counted_where_they_were_found(spark):
+    """No vector is shuffled after the search: the plan reads stored neighbours and counts pairs."""
+    p = plan(spark, "cosine_topk_mutual")
+    assert "CoGroup" not in p and "Window" not in p and "HashAggregate" in p
